@@ -29,8 +29,8 @@ def typo_distance(a: Column, b: Column) -> Column:
 
 def allowed(a: Column, b: Column) -> Column:
     """Edits that typing errors make in words of these lengths: one from 5 letters, two from 7, three from 10."""
-    least = F.least(F.length(a), F.length(b))
-    return F.when(least >= 10, 3).when(least >= 7, 2).when(least >= 5, 1).otherwise(0)
+    long = F.greatest(F.length(a), F.length(b))
+    return F.when(long >= 10, 3).when(long >= 7, 2).when(long >= 5, 1).otherwise(0)
 
 
 def close(a: Column, b: Column) -> Column:
@@ -40,11 +40,11 @@ def close(a: Column, b: Column) -> Column:
 
 
 def corrections(words: DataFrame, scope: list[str], word: str = "word", n: str = "n") -> DataFrame:
-    """(scope..., word, correct) for each word that is a misspelling; words with digits and those under 5 letters are left alone.
+    """(scope..., word, correct) for each word that is a misspelling; words with digits and those under 4 letters are left alone.
 
     words has one row for each word of a scope with its count n; nulls and empty words are ignored.
     """
-    words = words.filter(F.length(word) >= 5).filter(~F.col(word).rlike("[0-9]"))
+    words = words.filter(F.length(word) >= 4).filter(~F.col(word).rlike("[0-9]"))
     words = staged(words.select(*scope, word, n, letters(F.col(word)).alias("l")), "words")
     total = words.agg(F.greatest(F.lit(3.0), F.sum(n) * SUPPORT)).scalar()
 
