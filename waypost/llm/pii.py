@@ -64,11 +64,17 @@ def _rewrite(text: str, at: list[int] | None, edits: list[tuple[int, int, str]])
 _MARKED_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
 _MARKED_DOT = re.compile(r"\s*[\[({]\s*(?:dot|punto|\.)\s*[\])}]\s*", re.I)
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
-_SAID = re.compile(rf"(?<![\w.]){_LOCAL}( ?(?:@| at | arroba ) ?)(?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z])", re.I)
+_AT = re.compile(r" at | ?@ | @|(?<=\w) arroba ", re.I)
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
+_BEFORE = re.compile(r"[A-Za-z0-9_%+-]\Z")
+_ENDING = re.compile(r"\.(?:com|org|net|edu|gov|test|example|invalid|info|us)\b", re.I)
 _SAID_DOT = re.compile(r"(?<=@)[A-Za-z0-9.-]+(?: dot [A-Za-z0-9-]+)+", re.I)
 _SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})(?:[ -](?:{'|'.join(DIGIT_WORDS)})\b){{2,}}", re.I)
 
 
+_INNER = [f" {w} " for w in DIGIT_WORDS]
+
+
 def normalise(text: str) -> tuple[str, list[int] | None]:
     """The text as the detectors read it, and each character's source position (None where nothing changed)."""
     at = None
@@ -85,16 +91,17 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
         if edits:
             text, at = _rewrite(text, at, edits)
         edits = []
-        for m in _SAID.finditer(text):
-            tail = re.match(r"[A-Za-z0-9-]+((?: dot |\.)[A-Za-z0-9-]+)+", text[m.end() :], re.I)
-            if "@" in m[1] or tail and (" dot " in tail[0].lower() or re.search(r"\.(?:com|org|net|edu|gov|test|example|invalid)\b", tail[0], re.I)):
-                edits.append((m.start(1), m.end(1), "@"))
+        for m in _AT.finditer(text):
+            if (x := _DOMAIN.match(text, m.end())) and _BEFORE.search(text, max(0, m.start() - 64), m.start()):
+                if "@" in m[0] or " dot " in x[0].lower() or _ENDING.search(x[0]):
+                    edits.append((m.start(), m.end(), "@"))
         if edits:
             text, at = _rewrite(text, at, edits)
         edits = [(m.start() + d.start(), m.start() + d.end(), ".") for m in _SAID_DOT.finditer(text) for d in re.finditer(r" dot ", m[0], re.I)]
         if edits:
             text, at = _rewrite(text, at, edits)
-    if re.search(r"(?i)\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ -](?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", text):
+    spaced = low.replace("-", " ")
+    if any(w in spaced for w in _INNER):
         edits = [(m.start(), m.end(), "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ -]", m[0]))) for m in _SPELLED.finditer(text)]
         if edits:
             text, at = _rewrite(text, at, edits)
@@ -140,6 +147,7 @@ PLAIN = (
     "department departments legal billing medical patient human resources accounts office clinic hospital re fw fwd subject sent date cc bcc phone direct fax tel cell email e-mail mail regards best thanks thank "
     "sincerely cheers kind many hello hi dear good morning afternoon evening wrote says said called paralegal clerk manager specialist coordinator custodian desk retrieval group never our your her his their my"
 ).split()
+WORDLIKE = {"will", "mark", "bill", "may", "art", "dot", "win", "rich", "drew", "sue", "hank", "gene", "pat", "les", "kit", "peg", "nan", "lee", "di", "don", "rob", "jack", "ray", "max", "ed", "al"}
 _PLAIN = set(PLAIN) | set(FORMS) | set(SITES) | set(SPECIALTIES) | _MONTHS | _DAYS | {w for w in CREDENTIALS} | set(TITLES)
 _ORG = (set(FORMS) | set(SPECIALTIES) | {"health", "medicine", "care", "imaging", "therapy", "retrieval", "management", "disorders"}) - {"home", "family", "women", "pain", "wound", "sleep", "spec", "group", "services", "service", "card", "int", "physical", "internal", "vision"}
 _WORD = re.compile(r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'-]*")
@@ -160,15 +168,22 @@ def _names(t: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int
         if k == len(spans) or w[1] <= spans[k][0]:
             free.append(w)
     n, i = len(free), 0
+    blank = re.compile(r"[ \t]+").fullmatch
 
     def joined(x: int, y: int, sep: str = r"[ \t]+") -> bool:
-        return y < n and re.fullmatch(sep, t[free[x][1] : free[y][0]]) is not None
+        if y >= n:
+            return False
+        gap = t[free[x][1] : free[y][0]]
+        return gap == " " or (blank(gap) if sep == r"[ \t]+" else re.fullmatch(sep, gap)) is not None if "," not in sep else re.fullmatch(sep, gap) is not None
 
     while i < n:
         a, b, w = free[i]
         low, cap = w.lower(), w[0].isupper()
         g = low in GIVEN
-        if g and (cap or low not in AMBIGUOUS):
+        if not (cap or g or b - a == 1 or low in TITLES):
+            i += 1
+            continue
+        if g and (cap or low not in WORDLIKE):
             j = i + 1
             if joined(i, j, r"\.?[ \t]+") and len(free[j][2]) == 1 and free[j][2].isalpha() and joined(j, j + 1, r"\.?[ \t]+"):
                 j += 1  # middle initial
@@ -176,7 +191,7 @@ def _names(t: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int
                 s = free[j][2]
                 fits = _is_surname(s) and (s[0].isupper() == cap or s[0].isupper()) and not (s.lower() in GIVEN and s[0].islower())
                 if fits and not cap:
-                    fits = len(s) >= 5 and not (s.endswith(("ing", "ed", "ly")) and s.islower())
+                    fits = len(s) >= (8 if low in AMBIGUOUS else 5) and not (s.endswith(("ing", "ed", "ly")) and s.islower())
                 if fits and low in AMBIGUOUS and j + 1 < n and joined(j, j + 1) and free[j + 1][2].lower() in _ORG:
                     fits = False
                 if fits:
@@ -208,7 +223,7 @@ def _names(t: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int
             if len(free[j][2]) == 1 and joined(j, j + 1, r"\.?[ \t]+"):
                 j += 1
             s = free[j][2]
-            if _is_surname(s) and len(s) >= 3 and s.lower() not in _ORG and (cap and s[0].isupper() or not cap and s.islower() and len(s) >= 5):
+            if _is_surname(s) and s.lower() not in _ORG and (cap and s[0].isupper() or not cap and s.islower() and len(s) >= 5):
                 follows = free[j + 1][2].lower() if joined(j, j + 1) else ""
                 if follows not in _ORG and follows not in SITES:
                     yield a, free[j][1], "NAME"
@@ -216,7 +231,7 @@ def _names(t: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int
                     continue
         if low in TITLES and i + 1 < n and joined(i, i + 1, r"\.?[ \t]+"):
             s = free[i + 1][2]
-            if s.lower() not in GIVEN and _is_surname(s) and s[0].isupper() and (cap or low in ("mr", "mrs", "ms", "dr")):
+            if s.lower() not in GIVEN and _is_surname(s) and (s[0].isupper() or len(s) >= 5 and t[b : b + 1] == "."):
                 j = i + 1
                 if joined(j, j + 1) and free[j + 1][2][0].isupper() and _is_surname(free[j + 1][2]):
                     j += 1  # a given name that isn't known, and the surname
