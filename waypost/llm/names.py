@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.name_parse import parse_name
-from waypost.llm.spelling import close, corrections, typo_distance
+from waypost.llm.spelling import close, corrections, typo_distance, word_keys
 from waypost.session import staged
 
 PARTS = ("kind", "word", "own", "spec", "cred", "mid")
@@ -71,8 +71,7 @@ def entities(names: DataFrame) -> DataFrame:
 def _merges(profiles: DataFrame) -> DataFrame:
     """(entity, into): merges of this round; into is never itself merged in the same round."""
     each = profiles.withColumn("raw", F.explode(F.array_union("raws", F.array("word"))))
-    ends = F.array(F.concat(F.lit("<"), F.substring("raw", 1, 3)), F.concat(F.substring("raw", -3, 3), F.lit(">")))
-    keyed = each.withColumn("k", F.explode(ends)).select("entity", "kind", "own", "spec", "n", "raw", "k", "creds", "mids", "whole")
+    keyed = each.withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "own", "spec", "n", "raw", "k", "creds", "mids", "whole")
     few = keyed.filter("whole").alias("a").join(keyed.filter("whole").alias("b"), ["kind", "own", "spec", "k"])
     few = few.filter((F.col("a.entity") != F.col("b.entity")) & (F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity")) & close(F.col("a.raw"), F.col("b.raw")))
     rank = F.struct(-typo_distance(F.col("a.raw"), F.col("b.raw")), F.col("b.n"), F.col("b.entity"))

@@ -2,7 +2,7 @@
 
 A word counts as common when its share of all words reaches SUPPORT (three occurrences at least) and no word RATIO times as
 frequent lies within the allowed edits; every other word is mapped to the nearest common one, if there is any. The candidate
-search is an equi-join on the first and on the last three letters; only common words are searched, so the work per word doesn't
+search is an equi-join on groups of three letters (word_keys); only common words are searched, so the work per word doesn't
 grow with the number of misspellings.
 """
 
@@ -22,9 +22,18 @@ def letters(word: Column) -> Column:
 
 
 def typo_distance(a: Column, b: Column) -> Column:
-    """Edits between two words, a swap of letters counting as one; -1 beyond three."""
-    d = F.levenshtein(a, b, 3)
-    return d - ((d >= 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b))).cast("int")
+    """Edits between two words, -1 beyond three; where the letters are the same ones, a swap counts as one edit."""
+    return _distance(F.levenshtein(a, b, 4), letters(a) == letters(b))
+
+
+def _distance(d: Column, same_letters: Column) -> Column:
+    return F.when((d >= 2) & same_letters, F.ceil(d / 2).cast("int")).when(d > 3, -1).otherwise(d)
+
+
+def word_keys(word: Column) -> Column:
+    """Four blocking keys: the first, the next, the last and the last but three letters; three edits rarely spoil all."""
+    pick = [("<", 1), ("(", 4), (">", -3), (")", -6)]
+    return F.array_distinct(F.array(*[F.concat(F.lit(m), F.substring(word, i, 3)) for m, i in pick]))
 
 
 def allowed(a: Column, b: Column) -> Column:
@@ -49,14 +58,12 @@ def corrections(words: DataFrame, scope: list[str], word: str = "word", n: str =
     total = words.agg(F.greatest(F.lit(3.0), F.sum(n) * SUPPORT)).scalar()
 
     def keyed(df: DataFrame, p: str) -> DataFrame:
-        ends = F.array(F.concat(F.lit("<"), F.substring(word, 1, 3)), F.concat(F.substring(word, -3, 3), F.lit(">")))
-        return df.select(*scope, F.col(word).alias(f"{p}w"), F.col(n).alias(f"{p}n"), F.col("l").alias(f"{p}l"), F.explode(ends).alias("k"))
+        return df.select(*scope, F.col(word).alias(f"{p}w"), F.col(n).alias(f"{p}n"), F.col("l").alias(f"{p}l"), F.explode(word_keys(F.col(word))).alias("k"))
 
     def nearest(rare: DataFrame, to: DataFrame) -> DataFrame:
         pairs = keyed(rare, "a").join(keyed(to, "b"), [*scope, "k"])
         pairs = pairs.filter((F.col("bn") >= RATIO * F.col("an")) & (F.abs(F.length("aw") - F.length("bw")) <= 3))
-        d = F.levenshtein("aw", "bw", 3)
-        pairs = pairs.select(*scope, "aw", "bw", "bn", (d - ((d >= 2) & (F.col("al") == F.col("bl"))).cast("int")).alias("d"))
+        pairs = pairs.select(*scope, "aw", "bw", "bn", _distance(F.levenshtein("aw", "bw", 4), F.col("al") == F.col("bl")).alias("d"))
         pairs = pairs.filter(F.col("d").between(0, allowed(F.col("aw"), F.col("bw"))))
         best = F.max_by("bw", F.struct(-F.col("d"), F.col("bn"), F.col("bw")))
         return pairs.groupBy(*scope, F.col("aw").alias(word)).agg(best.alias("correct"))
