@@ -56,10 +56,12 @@ def entities(names: DataFrame) -> DataFrame:
     )
     links = None
     profiles = staged(profiles, "merged")
+    richer = None
     for _ in range(ROUNDS):
-        found = staged(_merges(profiles), "found")
+        found = staged(_merges(profiles, richer), "found")
         if found.isEmpty():
             break
+        richer = found.select(F.col("into").alias("entity")).distinct()
         links = found if links is None else staged(_followed(links, found), "links")
         profiles = staged(_merged(profiles, found), "merged")
     out = rows.select("name", "kind", "entity")
@@ -68,14 +70,26 @@ def entities(names: DataFrame) -> DataFrame:
     return out.join(links, "entity", "left").select("name", "kind", F.coalesce("into", "entity").alias("entity"))
 
 
-def _merges(profiles: DataFrame) -> DataFrame:
-    """(entity, into): merges of this round; into is never itself merged in the same round."""
+def _merges(profiles: DataFrame, richer: DataFrame | None = None) -> DataFrame:
+    """(entity, into): merges of this round; into is never itself merged in the same round.
+
+    richer: the entities that merged in the round before. Only pairs with one of them are new then.
+    """
     each = profiles.withColumn("raw", F.explode(F.array_union("raws", F.array("word"))))
-    keyed = each.withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "own", "spec", "n", "raw", "k", "creds", "mids", "whole")
-    few = keyed.filter("whole").alias("a").join(keyed.filter("whole").alias("b"), ["kind", "own", "spec", "k"])
-    few = few.filter((F.col("a.entity") != F.col("b.entity")) & (F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity")) & close(F.col("a.raw"), F.col("b.raw")))
-    rank = F.struct(-typo_distance(F.col("a.raw"), F.col("b.raw")), F.col("b.n"), F.col("b.entity"))
-    near = few.groupBy(F.col("a.entity").alias("entity")).agg(F.max_by(F.col("b.entity"), rank).alias("into"))
+    keyed = each.filter("whole").withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "own", "spec", "n", "raw", "k")
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        two = x.alias("a").join(y.alias("b"), ["kind", "own", "spec", "k"]).filter(F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity"))
+        two = two.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("entity", "raw", "n")])
+        return two.filter((F.col("a_entity") != F.col("b_entity")) & close(F.col("a_raw"), F.col("b_raw")))
+
+    if richer is None:
+        few = pairs(keyed, keyed)
+    else:
+        new = keyed.join(richer, "entity", "left_semi").select(keyed.columns)
+        few = pairs(keyed, new).unionByName(pairs(new, keyed))
+    rank = F.struct(-typo_distance(F.col("a_raw"), F.col("b_raw")), F.col("b_n"), F.col("b_entity"))
+    near = few.groupBy(F.col("a_entity").alias("entity")).agg(F.max_by(F.col("b_entity"), rank).alias("into"))
 
     part = profiles.filter("not whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("a")
     full = profiles.filter("whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("b")
@@ -84,7 +98,7 @@ def _merges(profiles: DataFrame) -> DataFrame:
     person = (F.col("a.kind") == "person") & (F.substring("b.own", 1, 1) == F.col("a.own")) & agree("creds") & agree("mids")
     fits = part.join(full, ["kind", "word"]).filter(org | person)
     only = fits.groupBy(F.col("a.entity").alias("entity")).agg(F.min("b.entity").alias("into"), F.max("b.entity").alias("last")).filter("into = last").drop("last")
-    both = near.unionByName(only)
+    both = staged(near.unionByName(only), "both")
     return both.join(both.select(F.col("entity").alias("into")), "into", "left_anti").select("entity", "into")
 
 
