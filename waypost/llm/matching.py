@@ -5,13 +5,16 @@ similarities; a mixture of two Gaussians with regularised diagonal covariances s
 by expectation-maximisation. Transitivity holds inside every E-step: the locations of one organisation at one place stand or fall
 together, and a block can belong to one such group only, so the groups of a block compete for it. The posterior is the confidence.
 
-The vectors are rounded to a grid, so the mixture is fitted on a bounded histogram of all candidate pairs (at most
-11 * 2 * 2 * 11 * 3 * 3 * 3 cells), while the competition of groups is worked out on the cluster in each step.
+The vectors - similarity of the own word or surname, site or given name, specialty, similarity of the street, agreement of unit,
+department and postal code - are rounded to a grid, so the mixture is fitted on a bounded histogram of all candidates (CELLS), while the competition of groups is worked out on the cluster in each step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,6 @@ from waypost.llm.names import entities
 from waypost.llm.spelling import close
 from waypost.session import staged
 
-FEATURES = ("f_word", "f_own", "f_spec", "f_street", "f_unit", "f_dept", "f_zip")
 RIDGE = 0.01  # added to every variance
 STEPS = 4
 CONFIDENT = 0.3  # two groups that are one entity under unmerged spellings share the posterior
@@ -69,76 +71,115 @@ def _fit(hist: np.ndarray, counts: np.ndarray, resp: np.ndarray) -> np.ndarray:
     return np.clip(logs[0] - logs[1], -30, 30)
 
 
+def _code(x: str, y: str) -> Column:
+    """The grid cell of a pair's vector, as one number; _vector reads it back."""
+    px, py = F.split(F.col(f"{x}.entity"), r"\|"), F.split(F.col(f"{y}.entity"), r"\|")
+    same_kind = F.get(px, F.lit(0)) == F.get(py, F.lit(0))
+    part = lambda i: same_kind & (F.get(px, F.lit(i)) == F.get(py, F.lit(i)))
+    features = [
+        (F.when(same_kind, _similarity(F.get(px, F.lit(1)), F.get(py, F.lit(1)))).otherwise(0.0), 10), (part(2).cast("double"), 1), (part(3).cast("double"), 1),
+        (_similarity(F.col(f"{x}.core"), F.col(f"{y}.core")), 10), *[(_agreement(F.col(f"{x}.{c}"), F.col(f"{y}.{c}")), 2) for c in ("unit", "dept", "zip")],
+    ]
+    out = F.lit(0)
+    for value, top in features:
+        out = out * (top + 1) + F.round(value * top).cast("int")
+    return out
+
+
+TOPS = (10, 1, 1, 10, 2, 2, 2)
+CELLS = int(np.prod([t + 1 for t in TOPS]))
+
+
+def _vector(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), len(TOPS)))
+    for i in range(len(TOPS) - 1, -1, -1):
+        codes, r = np.divmod(codes, TOPS[i] + 1)
+        out[:, i] = r / TOPS[i]
+    return out
+
+
 def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     """(ref_ord, block_id, posterior, same_name, agrees): candidate pairs with the confidence that they match.
 
     same_name: both name one organisation or person; agrees: neither place nor departments conflict. Blocks without a name or
-    address are candidates only if the rest points to one organisation or person at one place; their posterior is that of the pairs that agree
-    in everything known. Rows with null, blank or placeholder fields have no pair they can't be told from; empty tables give no rows.
+    address are candidates only if the rest points to one organisation or person at one place; their posterior is 1, as nothing known
+    about them disagrees. Rows with null, blank or placeholder fields have no pair they can't be told from; empty tables give no rows.
     """
     rows = _rows(locations, blocks)
     names = entities(rows.select("name"))
-    spots = located(rows)
-    spots = spots.join(names.select("name", "entity"), "name", "left")
-    loc = spots.filter("src = 'l' and entity is not null")
-    blk = spots.filter("src = 'b'")
-    parts = lambda p: F.split(F.col(f"{p}.entity"), r"\|")
-
-    spots = staged(blk.unionByName(loc), "spots")
+    lone = rows.filter("src = 'b' and kind = ''")
+    spots = located(rows).join(names.select("name", "entity"), "name", "left")
+    spots = spots.withColumn("listed", F.coalesce(F.col("name").like("%;%"), F.lit(False))).drop("name")
+    spots = staged(spots.filter("src = 'b' or entity is not null"), "spots")
     loc, blk = spots.filter("src = 'l'").alias("l"), spots.filter("src = 'b'").alias("b")
-    cand = blk.join(loc, ["st", "town", "kind", "num"])
-    near = same_place("b", "l")
-    named = cand.filter("b.entity is not null").withColumn("near", near)
-    pb, pl = parts("b"), parts("l")
-    same_kind = F.get(pb, F.lit(0)) == F.get(pl, F.lit(0))
-    pairs = named.select(
-        F.col("b.id").alias("block_id"), F.col("l.id").alias("ref_ord"), F.col("l.entity").alias("entity"), (F.col("b.entity") == F.col("l.entity")).alias("same_name"),
-        (F.col("near") & ((F.col("b.dept") == "") | (F.col("l.dept") == "") | (F.col("b.dept") == F.col("l.dept")))).alias("agrees"),
-        F.when(same_kind, _similarity(F.get(pb, F.lit(1)), F.get(pl, F.lit(1)))).otherwise(0.0).alias("f_word"),
-        (same_kind & (F.get(pb, F.lit(2)) == F.get(pl, F.lit(2)))).cast("double").alias("f_own"),
-        (same_kind & (F.get(pb, F.lit(3)) == F.get(pl, F.lit(3)))).cast("double").alias("f_spec"),
-        _similarity(F.col("b.core"), F.col("l.core")).alias("f_street"), _agreement(F.col("b.unit"), F.col("l.unit")).alias("f_unit"),
-        _agreement(F.col("b.dept"), F.col("l.dept")).alias("f_dept"), _agreement(F.col("b.zip"), F.col("l.zip")).alias("f_zip"),
+    place = ["st", "town", "kind", "num"]
+    named = blk.filter("b.entity is not null").join(loc, place).filter(same_place("b", "l"))
+    groups = named.select(
+        F.col("b.id").alias("block_id"), F.xxhash64("l.entity").alias("g"), (F.col("b.entity") == F.col("l.entity")).alias("same_name"), _code("b", "l").alias("v"),
+        F.struct(F.col("l.id").alias("ref_ord"), _depts("b.dept", "l.dept").alias("agrees")).alias("ref"),
     )
-    pairs = staged(pairs, "pairs")
-    posterior = _posteriors(pairs)
-    out = pairs.join(posterior, ["block_id", "entity", *FEATURES]).select("ref_ord", "block_id", "posterior", "same_name", "agrees")
-    return out.unionByName(_nameless(cand.filter("b.entity is null and b.name is null or b.entity is null and b.name not like '%;%'"), near)).unionByName(_placeless(rows, names, spots))
-
-
-def _posteriors(pairs: DataFrame) -> DataFrame:
-    """(block_id, entity, FEATURES, posterior) from the mixture."""
-    spark = pairs.sparkSession
-    cells = pairs.groupBy(*FEATURES).count().collect()  # a bounded grid
-    schema = ", ".join(f"{f} double" for f in FEATURES)
-    if not cells:
-        return spark.createDataFrame([], f"block_id bigint, entity string, {schema}, posterior double")
-    hist = np.array([[r[f] for f in FEATURES] for r in cells], float)
-    counts = np.array([r["count"] for r in cells], float)
-    ids = spark.createDataFrame([(*map(float, h), i) for i, h in enumerate(hist)], f"{schema}, v int")
-    groups = pairs.join(F.broadcast(ids), [*FEATURES]).groupBy("block_id", "entity", "v").agg(F.count("*").alias("n"))
-    groups = staged(groups, "groups")
-    resp = np.clip((hist[:, 0] + hist[:, 1] + hist[:, 2] + hist[:, 3]) / 4, 0.02, 0.98) ** 3  # where EM starts: mean similarity of name and street
-    odds = _fit(hist, counts, resp)
-
-    def competing(odds: np.ndarray) -> DataFrame:
-        table = F.broadcast(spark.createDataFrame([(i, float(o)) for i, o in enumerate(odds)], "v int, o double"))
-        each = groups.join(table, "v")
-        best = each.groupBy("block_id", "entity").agg(F.max("o").alias("g"))
-        total = best.groupBy("block_id").agg(F.sum(F.exp("g")).alias("all"))
-        won = best.join(total, "block_id").select("block_id", "entity", (F.exp("g") / (F.lit(1.0) + F.col("all"))).alias("share"))
-        # a pair matches if its group wins the block and the pair itself is a match
-        return each.join(won, ["block_id", "entity"]).withColumn("posterior", F.col("share") * F.least(F.lit(1.0), (F.lit(1.0) + F.exp(-F.col("o"))) ** -1 / F.greatest(F.col("share"), F.lit(1e-12))))
-
-    for _ in range(STEPS):
-        got = {r["v"]: r["p"] / r["n"] for r in competing(odds).groupBy("v").agg(F.sum(F.col("posterior") * F.col("n")).alias("p"), F.sum("n").alias("n")).collect()}
-        resp = np.array([got.get(i, 0.0) for i in range(len(hist))])
-        new = _fit(hist, counts, resp)
-        done = np.abs(new - odds).max() < 0.05
-        odds = new
-        if done:
+    # the locations of one organisation at one place are one group: they stand or fall together, by their best vector
+    groups = groups.repartition("block_id").groupBy("block_id", "g").agg(F.max("v").alias("v"), F.max("same_name").alias("same_name"), F.collect_list("ref").alias("refs"))
+    groups = staged(groups.groupBy("block_id").agg(F.collect_list(F.struct("v", "same_name", "refs")).alias("groups")), "groups")
+    out = _with_posteriors(groups)
+    nameless = blk.filter("b.entity is null and not b.listed").join(loc, place).filter(same_place("b", "l"))
+    return out.unionByName(_nameless(nameless)).unionByName(_placeless(lone, names, spots))
+
+
+def _shares(offsets: np.ndarray, v: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The posterior of each group: one group of a block can match, or none."""
+    e = np.exp(odds[v])
+    if not len(e):
+        return e
+    total = np.add.reduceat(e, offsets[:-1])
+    return e / (1 + np.repeat(total, np.diff(offsets)))
+
+
+def _with_posteriors(groups: DataFrame) -> DataFrame:
+    """(ref_ord, block_id, posterior, same_name, agrees) of the grouped candidates, from the mixture."""
+    vs = groups.select(F.col("groups.v").alias("v"))
+    counts = np.zeros(CELLS)
+    for r in vs.select(F.explode("v").alias("v")).groupBy("v").count().collect():  # at most CELLS rows
+        counts[r["v"]] = r["count"]
+    used = np.flatnonzero(counts)
+    odds = np.full(CELLS, -30.0)
+    if len(used):
+        hist = _vector(used)
+        resp = np.clip(hist[:, :4].mean(1), 0.02, 0.98) ** 3  # where EM starts: the mean similarity of name and street
+        odds[used] = _fit(hist, counts[used], resp)
+    for _ in range(STEPS if len(used) else 0):
+        now = odds.copy()
+
+        def expectation(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            won = np.zeros(CELLS)
+            for b in batches:
+                col = b.column(0)
+                v = col.flatten().to_numpy(zero_copy_only=False)
+                if len(v):
+                    o = col.offsets.to_numpy()
+                    won += np.bincount(v, _shares(o - o[0], v, now), CELLS)
+            at = np.flatnonzero(won)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(won[at], pa.float64())], names=["v", "p"])
+
+        got = np.zeros(CELLS)
+        for r in vs.mapInArrow(expectation, "v int, p double").groupBy("v").agg(F.sum("p").alias("p")).collect():
+            got[r["v"]] = r["p"]
+        odds[used] = _fit(hist, counts[used], np.clip(got[used] / counts[used], 0, 1))
+        if np.abs(odds[used] - now[used]).max() < 0.05:
             break
-    return competing(odds).select("block_id", "entity", "v", "posterior").join(F.broadcast(ids), "v").drop("v")
+    final = odds.copy()
+
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(1)
+            o = v.offsets.to_numpy()
+            p = _shares(o - o[0], v.flatten().to_numpy(zero_copy_only=False), final)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(p, pa.float64()))], names=["block_id", "p"])
+
+    p = groups.select("block_id", F.col("groups.v").alias("v")).mapInArrow(posteriors, "block_id bigint, p array<double>")
+    each = groups.join(p, "block_id").select("block_id", F.explode(F.arrays_zip("groups", "p")).alias("x"))
+    each = each.select("block_id", F.col("x.p").alias("posterior"), F.col("x.groups.same_name").alias("same_name"), F.explode("x.groups.refs").alias("r"))
+    return each.select("r.ref_ord", "block_id", "posterior", "same_name", "r.agrees")
 
 
 def _one_place(p: str) -> list[Column]:
@@ -154,9 +195,9 @@ def _depts(x: str, y: str) -> Column:
     return (F.col(x) == "") | (F.col(y) == "") | (F.col(x) == F.col(y))
 
 
-def _nameless(cand: DataFrame, near: Column) -> DataFrame:
+def _nameless(cand: DataFrame) -> DataFrame:
     """Pairs of blocks without a name: all locations at their place must be of one organisation or person at one place."""
-    at = cand.filter(near).select(
+    at = cand.select(
         F.col("b.id").alias("block_id"), F.col("l.id").alias("ref_ord"), F.col("l.entity").alias("entity"), F.col("b.dept").alias("bd"), F.col("l.dept").alias("ld"), "st", "town", "kind", "num",
         F.col("l.core").alias("core"), F.col("l.dir").alias("dir"), F.col("l.type").alias("type"), F.col("l.unit").alias("unit"),
     ).alias("p")
@@ -164,9 +205,9 @@ def _nameless(cand: DataFrame, near: Column) -> DataFrame:
     return at.join(single, "block_id").select("ref_ord", "block_id", F.lit(1.0).alias("posterior"), F.lit(True).alias("same_name"), _depts("bd", "ld").alias("agrees"))
 
 
-def _placeless(rows: DataFrame, names: DataFrame, spots: DataFrame) -> DataFrame:
+def _placeless(lone: DataFrame, names: DataFrame, spots: DataFrame) -> DataFrame:
     """Pairs of blocks without a street or box: their name, with what town is left, must be at one place only."""
-    b = rows.filter("src = 'b' and kind = ''").join(names.select("name", "entity"), "name")
+    b = lone.join(names.select("name", "entity"), "name")
     b = b.select(F.col("id").alias("block_id"), "entity", F.col("dept").alias("bd"), F.col("town").alias("bt"), F.col("st").alias("bs"), F.col("zip").alias("bz"))
     at = b.join(spots.filter("src = 'l'"), "entity")
     at = at.filter(((F.col("bs") == "") | (F.col("st") == "") | (F.col("bs") == F.col("st"))) & ((F.col("bt") == "") | (F.col("bt") == F.col("town")) | close(F.col("bt"), F.col("town")))).alias("p")
