@@ -21,6 +21,9 @@ GIVEN_FORMS = {
     "stephen": "steve steven", "susan": "sue susie suzy suzie", "teresa": "terry tess", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim timmy",
     "ulysses": "uly lee", "victor": "vic", "victoria": "vicky tori vicki vickie", "vincent": "vince vinny vinnie vin", "walter": "walt wally", "wendy": "", "william": "bill will billy willie willy liam",
     "winifred": "winnie win freda", "yolanda": "yoli yola yolie", "zachary": "zach zack zac",
+    "aaron": "", "adam": "", "amanda": "mandy", "amy": "", "ana": "", "bernard": "bernie", "brandon": "", "carmen": "", "gary": "", "gloria": "", "heather": "", "jane": "", "janet": "", "jeffrey": "jeff",
+    "joan": "", "jose": "pepe", "judith": "judy", "justin": "", "keith": "", "luis": "", "marie": "", "megan": "", "miguel": "", "pedro": "", "ralph": "", "rita": "", "rosa": "", "russell": "russ", "scott": "", "stanley": "stan",
+    "stephanie": "steph", "tyler": "", "virginia": "ginny",
 }
 GIVEN = {f: full for full, forms in GIVEN_FORMS.items() for f in (*forms.split(), full)}
 CREDENTIALS = {"md", "do", "dds", "dmd", "np", "pa", "dc", "rn", "phd", "dpm", "od", "lcsw", "fnp", "crnp", "esq", "jr", "sr"}

@@ -45,20 +45,29 @@ def _char(c: str) -> str:
     return n if len(n) == 1 and n.isascii() else c
 
 
-def _rewrite(text: str, at: list[int] | None, edits: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
-    """text with the ranges of edits replaced; at holds each character's source position (None: its own index)."""
-    at = list(range(len(text))) if at is None else at
-    out, src, i = [], [], 0
-    for a, b, new in edits:
+class Source:
+    """Where each character of a rewritten text came from: the start and the end of its range in the source."""
+
+    def __init__(self, n: int):
+        self.start, self.end = list(range(n)), list(range(1, n + 1))
+
+
+def _rewrite(text: str, at: Source | None, edits: list[tuple[int, int, str]]) -> tuple[str, Source]:
+    """text with the ranges of edits replaced; at is that of text (None: the text is the source)."""
+    at = at or Source(len(text))
+    new = Source(0)
+    out, i = [], 0
+    for a, b, s in edits:
         if a < i:
             continue
-        out += (text[i:a], new)
-        src += at[i:a]
-        src += [at[a]] * len(new)
+        out += (text[i:a], s)
+        new.start += at.start[i:a] + [at.start[a]] * len(s)
+        new.end += at.end[i:a] + [at.end[b - 1]] * len(s)
         i = b
     out.append(text[i:])
-    src += at[i:]
-    return "".join(out), src
+    new.start += at.start[i:]
+    new.end += at.end[i:]
+    return "".join(out), new
 
 
 _MARKED_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
@@ -75,8 +84,8 @@ _SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})(?:[ -](?:{'|'.join(DIGIT_
 _INNER = [f" {w} " for w in DIGIT_WORDS]
 
 
-def normalise(text: str) -> tuple[str, list[int] | None]:
-    """The text as the detectors read it, and each character's source position (None where nothing changed)."""
+def normalise(text: str) -> tuple[str, Source | None]:
+    """The text as the detectors read it, and each character's source range (None where nothing changed)."""
     at = None
     if not text.isascii():
         edits = [(i, i + 1, n) for i, c in enumerate(text) if c > "\x7f" and (n := _char(c)) != c]
@@ -102,7 +111,12 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
             text, at = _rewrite(text, at, edits)
     spaced = low.replace("-", " ")
     if any(w in spaced for w in _INNER):
-        edits = [(m.start(), m.end(), "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ -]", m[0]))) for m in _SPELLED.finditer(text)]
+        edits = []
+        for m in _SPELLED.finditer(text):
+            for w in re.finditer(r"([ -]?)(\w+)", m[0]):
+                if w[1]:
+                    edits.append((m.start() + w.start(1), m.start() + w.end(1), ""))
+                edits.append((m.start() + w.start(2), m.start() + w.end(2), DIGIT_WORDS[w[2].lower()]))
         if edits:
             text, at = _rewrite(text, at, edits)
     return text, at
@@ -292,7 +306,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     found.sort()
     if at is None:
         return found
-    return [(at[a], at[b - 1] + 1, kind) for a, b, kind in found]
+    return [(at.start[a], at.end[b - 1], kind) for a, b, kind in found]
 
 
 def redact(text: str | None) -> str | None:
