@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.name_parse import parse_name
-from waypost.llm.spelling import close, corrections, typo_distance, word_keys
+from waypost.llm.spelling import SUPPORT, close, corrections, typo_distance, word_keys
 from waypost.session import staged
 
 PARTS = ("kind", "word", "own", "spec", "cred", "mid")
+BROADCAST_NAMES = 10_000  # names with an uncommon word: up to so many are sent to all executors (some 10 MB), more are shuffled
 ROUNDS = 8  # a merge needs a richer profile, so a few rounds reach the fixed point; this only bounds a faulty loop
 
 
@@ -56,9 +57,14 @@ def entities(names: DataFrame) -> DataFrame:
     )
     links = None
     profiles = staged(profiles, "merged")
+    totals = profiles.groupBy("kind", "word").agg(F.sum("n").alias("t"))
+    least = profiles.agg(F.greatest(F.lit(3.0), F.sum("n") * SUPPORT)).scalar()
+    rare = staged(totals.filter(F.col("t") < least).select("kind", "word", "t"), "rare")
+    few = (rare.agg(F.sum("t").alias("t")).first()["t"] or 0) <= BROADCAST_NAMES
+    rare = rare.drop("t")
     richer = None
     for _ in range(ROUNDS):
-        found = staged(_merges(profiles, richer), "found")
+        found = staged(_merges(profiles, F.broadcast(rare) if few else rare, few, richer), "found")
         if found.isEmpty():
             break
         richer = found.select(F.col("into").alias("entity")).distinct()
@@ -70,13 +76,15 @@ def entities(names: DataFrame) -> DataFrame:
     return out.join(links, "entity", "left").select("name", "kind", F.coalesce("into", "entity").alias("entity"))
 
 
-def _merges(profiles: DataFrame, richer: DataFrame | None = None) -> DataFrame:
+def _merges(profiles: DataFrame, rare: DataFrame, few: bool, richer: DataFrame | None = None) -> DataFrame:
     """(entity, into): merges of this round; into is never itself merged in the same round.
 
-    richer: the entities that merged in the round before. Only pairs with one of them are new then.
+    rare: the words that may be misspellings, as a common one isn't (spelling); few: whether they can be broadcast. richer: the entities that merged in the round before. Only pairs with one of them are new then.
     """
     each = profiles.withColumn("raw", F.explode(F.array_union("raws", F.array("word"))))
-    keyed = each.filter("whole").withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "own", "spec", "n", "raw", "k")
+    keyed = each.filter("whole").withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "word", "own", "spec", "n", "raw", "k")
+    odd = keyed.join(rare, ["kind", "word"], "left_semi").select(keyed.columns)
+    odd = F.broadcast(odd) if few else odd
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         two = x.alias("a").join(y.alias("b"), ["kind", "own", "spec", "k"]).filter(F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity"))
@@ -84,12 +92,12 @@ def _merges(profiles: DataFrame, richer: DataFrame | None = None) -> DataFrame:
         return two.filter((F.col("a_entity") != F.col("b_entity")) & close(F.col("a_raw"), F.col("b_raw")))
 
     if richer is None:
-        few = pairs(keyed, keyed)
+        close_by = pairs(odd, keyed)
     else:
-        new = keyed.join(richer, "entity", "left_semi").select(keyed.columns)
-        few = pairs(keyed, new).unionByName(pairs(new, keyed))
+        new = lambda x: x.join(richer, "entity", "left_semi").select(keyed.columns)
+        close_by = pairs(odd, new(keyed)).unionByName(pairs(new(odd), keyed))
     rank = F.struct(-typo_distance(F.col("a_raw"), F.col("b_raw")), F.col("b_n"), F.col("b_entity"))
-    near = few.groupBy(F.col("a_entity").alias("entity")).agg(F.max_by(F.col("b_entity"), rank).alias("into"))
+    near = close_by.groupBy(F.col("a_entity").alias("entity")).agg(F.max_by(F.col("b_entity"), rank).alias("into"))
 
     part = profiles.filter("not whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("a")
     full = profiles.filter("whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("b")
