@@ -148,3 +148,23 @@ def test_truncated(spark):
     rates = {x["source"]: x["n_truncated"] for x in truncation.truncation_rates(df).collect()}
     assert rates == {"a": 0, "b": 2, "c": 1, None: 0}
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_every_longer_copy_is_verified(spark):
+    words = [f"w{i}" for i in range(90)]
+    cut, original = " ".join([*words[:84], "wo"]), " ".join([*words[:84], "word", *words[84:87], "end."])
+    longer = [" ".join([*words[:84], "word", *[f"x{n}y{i}" for i in range(20)], "end."]) for n in range(60)]  # of the original's length class, too unlike the cut text
+    assert {truncation.aligned_end(cut, x) for x in longer} == {""} and truncation.aligned_end(cut, original) == "cut"
+    df = spark.createDataFrame([("cut", cut), ("original", original), *[(f"longer {n}", x) for n, x in enumerate(longer)]], "doc_id string, text string").withColumn("source", F.lit("a"))
+    assert {r["doc_id"]: r["found"] for r in truncation.judged(df).collect()}["cut"] == "cut"
+
+
+def test_a_copy_that_goes_on_outweighs_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    cut = " ".join(words[:50])
+    wrapped = cut + "\n" + " ".join(words[50:54])
+    going = " ".join(words[:52])
+    same_stop = "z " + cut
+    assert truncation.aligned_end(cut, same_stop) == "" and truncation.aligned_end(cut, wrapped) == "end"
+    df = spark.createDataFrame([("cut", cut), ("wrapped", wrapped), ("going", going), ("same", same_stop)], "doc_id string, text string").withColumn("source", F.lit("a"))
+    assert {r["doc_id"]: r["found"] for r in truncation.judged(df).collect()}["cut"] == "cut"

@@ -7,14 +7,14 @@ texts: how often the last three, two or one words are followed by the end of a s
 A last word that is no word of the corpus but begins one was cut. Lengths at which a source's texts pile up without ending are its
 field limits: there, running text without an end is cut.
 
-Texts are compared as distinct values, so copies cost nothing. In a bucket each text is compared with the longest one of its own
-length class and of the next (classes grow by 1.25, so a copy of similarity 0.8 lies in one of them): linear in the bucket, and the
-longest copy is the one that shows what was cut.
+Texts are compared as distinct values, so copies cost nothing. A pair can only align where the last words before the end of the
+shorter text stand inside the longer one, so the texts of a bucket are joined on these words (an inverted index of the texts that
+share a bucket). The longest text of each key is verified first, since in a group of near-copies nearly any one shows the cut; a text
+it doesn't settle is verified against every other one. Copies that stop at the same word say nothing about each other and never pair.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +30,7 @@ from waypost.session import staged
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 5, 0.8
 KNOWN = 3  # times a word or context must occur inside texts to count as evidence
 TERMINAL = 0.08  # share of ends below which closing words are inside a sentence
+TAIL = 6  # words before the last one that a near-copy must have in the same order
 LIMIT_SHARE = 0.05  # share of a source's open-ended texts that one length needs to be a field limit
 
 # Marks of a cut, and phrases that end in dots by habit.
@@ -174,11 +175,7 @@ def bands(text: str) -> list[int]:
 
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(bands(t), len(t.split())) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int32()),
-             pa.array([int(math.log(max(r[1], 1)) / math.log(1 / SIMILARITY)) for r in rows], pa.int32())], names=["h", "bands", "n_words", "class"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bands(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["h", "bands"])
 
 
 def aligned_end(short: str, long: str) -> str:
@@ -193,7 +190,7 @@ def aligned_end(short: str, long: str) -> str:
     s = body.split()
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(long)]
     t = [long[x:y] for x, y in spans]
-    k = min(6, len(s) - 1)
+    k = min(TAIL, len(s) - 1)
     if k < 2:
         return ""
     tail = s[-k - 1 : -1]
@@ -206,8 +203,48 @@ def aligned_end(short: str, long: str) -> str:
         return ""
     if there != last:
         return "end" if re.fullmatch(r"[.!?…:;)\"”]+", there[len(last) :]) else "cut"
-    after = long[spans[i][1] : spans[i + 1][0]] if i + 1 < len(t) else "\n"
-    return "end" if "\n" in after or last[-1] in ".!?…:" else "cut"
+    return _goes(long, spans, i)
+
+
+def _goes(long: str, spans: list[tuple[int, int]], i: int) -> str:
+    """'cut' if the sentence of long goes on after its word i, 'end' if it ends there; '' if long has no further word."""
+    if i + 1 == len(spans):
+        return ""
+    (_, end), (start, _) = spans[i : i + 2]
+    return "end" if "\n" in long[end:start] or long[end - 1] in ".!?…:" else "cut"
+
+
+def _tail_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last word of each text and the key of the words before it, by which its near-copies are found."""
+    for b in batches:
+        hs, lasts, tails = [], [], []
+        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = MARKS.sub("", text).split()
+            k = min(TAIL, len(s) - 1)
+            if k >= 2:
+                hs.append(h), lasts.append(s[-1]), tails.append(_key(s[-k - 1 : -1]))
+        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(lasts, pa.string()), pa.array(tails, pa.int64())], names=["h", "last", "tail"])
+
+
+def _inside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a text with the key of the words before it, the number of words and whether the sentence goes on after it.
+
+    Keys of fewer than TAIL words only serve texts of TAIL words at most. Such a text has two shingles at most, and so has its copy.
+    """
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
+    names = ["other", "tail", "there", "goes", "n_words"]
+    rows: list[tuple] = []
+    for b in batches:
+        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+            t = [text[x:y] for x, y in spans]
+            sizes = range(2, TAIL + 1) if len(shingles(text)) <= 2 else (TAIL,)
+            rows += {(h, _key(t[i - k : i]), t[i], _goes(text, spans, i), len(t)) for k in sizes for i in range(k, len(t))}
+            if len(rows) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=names)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=names)
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +260,32 @@ def _ending_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, types)], names=["h", "state", "last", "two", "three"])
 
 
+def _aligned(texts: DataFrame, seeking: DataFrame) -> DataFrame:
+    """(h, found): the texts of seeking that end where a near-copy goes on ('cut' if any goes on in mid-sentence, else 'end')."""
+    hashed = staged(texts.select("h", "text").mapInArrow(_band_batches, "h string, bands array<bigint>"), "bands")
+    hashed = hashed.select("h", F.explode("bands").alias("band"))
+    shared = hashed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    hashed = staged(hashed.join(shared, "band", "left_semi"), "buckets")
+    near = staged(texts.join(hashed.select("h").distinct(), "h", "left_semi").select("h", "text"), "near")
+    tails = near.join(seeking, "h", "left_semi").mapInArrow(_tail_batches, "h string, last string, tail bigint")
+    tails = staged(tails.join(hashed, "h"), "tails")
+    inside = near.mapInArrow(_inside_batches, "other string, tail bigint, there string, goes string, n_words int")
+    inside = inside.join(tails.select("tail").distinct(), "tail", "left_semi")
+    inside = staged(inside.join(hashed.select(F.col("h").alias("other"), "band"), "other"), "inside")
+    alike = (F.col("h") != F.col("other")) & F.col("there").startswith(F.col("last")) & ((F.col("there") != F.col("last")) | (F.col("goes") != ""))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(alike).select("h", "other").distinct()
+        pairs = pairs.join(near, "h").join(near.select(F.col("h").alias("other"), F.col("text").alias("long")), "other")
+        pairs = pairs.filter("length(long) > length(text)").select("h", "text", "long").mapInArrow(_pair_batches, "h string, found string")
+        return staged(pairs.filter("found <> ''").groupBy("h").agg(F.min("found").alias("found")), "aligned")
+
+    longest = inside.groupBy("band", "tail", "there", "goes").agg(F.max_by("other", F.struct("n_words", "other")).alias("other"))
+    first = verified(tails.join(longest, ["band", "tail"]))
+    rest = tails.join(first.filter("found = 'cut'"), "h", "left_anti")
+    return first.unionByName(verified(rest.join(inside, ["band", "tail"]))).groupBy("h").agg(F.min("found").alias("found"))
+
+
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, truncated boolean, reason): one row for each document.
 
@@ -251,14 +314,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     score = F.when(n("3") >= KNOWN, rate("3")).when(n("2") >= KNOWN, rate("2")).when(n("1") >= KNOWN, F.greatest(rate("1"), F.lit(TERMINAL) / 2))
     scored = scored.select("h", "state", score.alias("score"), (F.col("e1").isNull() & F.col("stem").isNotNull()).alias("part"), (n("2") > 0).alias("seen"))
 
-    hashed = staged(texts.select("h", "text").mapInArrow(_band_batches, "h string, bands array<bigint>, n_words int, class int"), "bands")
-    hashed = hashed.select("h", "n_words", "class", F.explode("bands").alias("band"))
-    longest = hashed.groupBy("band", "class").agg(F.max_by("h", F.struct("n_words", "h")).alias("other"))
-    seekers = hashed.join(open_.select("h"), "h", "left_semi").select("h", "band", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    pairs = seekers.join(longest, ["band", "class"]).filter("h <> other").select("h", "other").distinct()
-    pairs = pairs.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("text").alias("long")), "other")
-    aligned = pairs.filter("length(long) > length(text)").select("h", "text", "long").mapInArrow(_pair_batches, "h string, found string")
-    aligned = aligned.filter("found <> ''").groupBy("h").agg(F.max("found").alias("found"))
+    aligned = _aligned(texts, open_.select("h"))
 
     answers = staged(ends.select("h", F.col("state").alias("s")).join(scored.drop("state"), "h", "left").join(aligned, "h", "left"), "answers")
     sized = docs.select("id", "source", "h", F.length("text").alias("chars"), F.octet_length("text").alias("octets")).join(answers, "h", "left")
