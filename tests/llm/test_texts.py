@@ -168,3 +168,26 @@ def test_a_copy_that_goes_on_outweighs_others(spark):
     assert truncation.aligned_end(cut, same_stop) == "" and truncation.aligned_end(cut, wrapped) == "end"
     df = spark.createDataFrame([("cut", cut), ("wrapped", wrapped), ("going", going), ("same", same_stop)], "doc_id string, text string").withColumn("source", F.lit("a"))
     assert {r["doc_id"]: r["found"] for r in truncation.judged(df).collect()}["cut"] == "cut"
+
+
+@pytest.mark.parametrize(
+    "stop,rest,want",
+    [
+        ("to Dr.", " Quell before noon.", "cut"), ("to 10028 N.", " Crevcombe Street today.", "cut"), ("it (see note 4)", " with the form.", "cut"), ("the desk P:", " 214-555-0101 today.", "cut"),
+        ("to Acme Inc.", " on Monday.", "cut"), ("see No.", " 12 of these.", "cut"), ("it was sent.", " Then more came.", "end"), ('she said "yes."', " Then more came.", "end"),
+        ("<p>It ended.</p>", "<p>More came.</p>", "end"), ("it was sent:", "\nA new line.", "end"),
+    ],
+)
+def test_properly_ended_texts_are_aligned(stop, rest, want):
+    short = " ".join([f"w{i}" for i in range(60)]) + " " + stop
+    assert truncation.aligned_end(short, short + rest) == want
+
+
+def test_properly_ended_copies_are_found(spark):
+    stops = {"title": ("to Dr.", " Quell before noon."), "street": ("to 10028 N.", " Crevcombe Street."), "note": ("it (see note 4)", " with the form."), "phone": ("the desk P:", " 214-555-0101 today."), "whole": ("it was sent.", " Then more came.")}
+    rows = []
+    for name, (stop, rest) in stops.items():
+        short = " ".join([f"{name}{i}" for i in range(60)]) + " " + stop
+        rows += [(name, short, "a"), (f"{name} long", short + rest, "a")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    assert {r["doc_id"] for r in truncation.truncated(df).collect() if r["truncated"]} == {"title", "street", "note", "phone"}

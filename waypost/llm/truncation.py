@@ -2,7 +2,8 @@
 
 Method: near-copies are found through min-hash banding over shingles of five words (similarity 0.8 or more) and verified pairs are
 aligned at the end of the shorter text: if the longer one goes on inside the word or the sentence, the shorter one was cut; if its
-sentence ends there, it wasn't. What has no near-copy is scored by the terminality of its closing words, learned from the inside of all
+sentence ends there, it wasn't. This holds for texts that end properly too: one that ends in "Dr." or a bracket may still be cut. What
+runs on without a near-copy is scored by the terminality of its closing words, learned from the inside of all
 texts: how often the last three, two or one words are followed by the end of a sentence or line, against how often the text goes on.
 A last word that is no word of the corpus but begins one was cut. Lengths at which a source's texts pile up without ending are its
 field limits: there, running text without an end is cut.
@@ -44,6 +45,10 @@ _CSZ = re.compile(r"[A-Z][\w.' -]*, [A-Z]{2} \d{5}(?:-\d{4})?")
 _CSZ_HEAD = re.compile(r"[A-Z][A-Za-z.' ]*,(?: [A-Z]{0,2}(?: \d{0,4})?)?")
 _CLOSED = re.compile(r"(?:[^\w\s\"'(\[¿¡<$]+(?: ?\w+){0,2}(?: ?[^\w\s]+)?|.*\bto present|key: [a-z]{2,4}-\d{3,5}|.*#\d+[a-z]?|.*\b(?:suite|ste\.?|unit|box) \d+[a-z]?)", re.I)
 _TOKEN = re.compile(r"\S+")
+_CLOSERS = re.compile(r"(?:</?[A-Za-z][^<>]*>|[\"'”»’)\]}*_])+$")
+_BLOCK_END = re.compile(r"</?(?:p|div|li|ul|ol|td|th|tr|table|h[1-6]|br|hr|body|html|blockquote|pre)\b[^<>]*>$", re.I)
+_SHORTENED = re.compile(r"[\"'“«(\[{]*(?:[A-HJ-Z]|Dr|Drs|Mr|Mrs|Ms|Messrs|Prof|Rev|Hon|vs|e\.g|i\.e|c/o|attn)\.", re.I)
+_NUMBERED = re.compile(r"[\"'“«(\[{]*(?:No|Nos|Fig|p|pp|vol|ch|sec|ste|apt|bldg|rm|ext|tel|ph|box)\.", re.I)
 
 
 def _norm(token: str) -> str:
@@ -201,17 +206,29 @@ def aligned_end(short: str, long: str) -> str:
     last, there = s[-1], t[i]
     if not there.startswith(last):
         return ""
-    if there != last:
-        return "end" if re.fullmatch(r"[.!?…:;)\"”]+", there[len(last) :]) else "cut"
-    return _goes(long, spans, i)
+    if there == last:
+        return _goes(long, spans, i)
+    rest = there[len(last) :]
+    return "end" if re.fullmatch(r"[.!?…:;)\"”]+", rest) or (rest[0] == "<" or last[-1] == ">") and _closed(last, rest.lstrip("<")) else "cut"
+
+
+def _closed(last: str, follows: str) -> bool:
+    """Whether last ends a sentence or block of markup where follows comes next; an abbreviation or initial doesn't."""
+    if _BLOCK_END.search(last) or re.search(r"[:;]-?\)$", last):
+        return True
+    core = _CLOSERS.sub("", last)
+    if not core or core[-1] not in ".!?…":
+        return False
+    bare = follows.lstrip("\"'“«([{")[:1]
+    return not (bare.islower() or _SHORTENED.fullmatch(core) or bare.isdigit() and _NUMBERED.fullmatch(core))
 
 
 def _goes(long: str, spans: list[tuple[int, int]], i: int) -> str:
     """'cut' if the sentence of long goes on after its word i, 'end' if it ends there; '' if long has no further word."""
     if i + 1 == len(spans):
         return ""
-    (_, end), (start, _) = spans[i : i + 2]
-    return "end" if "\n" in long[end:start] or long[end - 1] in ".!?…:" else "cut"
+    (begin, end), (start, stop) = spans[i : i + 2]
+    return "end" if "\n" in long[end:start] or _closed(long[begin:end], long[start:stop]) else "cut"
 
 
 def _tail_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,18 +278,21 @@ def _ending_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _aligned(texts: DataFrame, seeking: DataFrame) -> DataFrame:
-    """(h, found): the texts of seeking that end where a near-copy goes on ('cut' if any goes on in mid-sentence, else 'end')."""
+    """(h, found): the texts of seeking (h, open) that end where a near-copy goes on ('cut' if any goes on in mid-sentence, else 'end').
+
+    'end' is told for open texts only; it changes nothing about a text that ends properly.
+    """
     hashed = staged(texts.select("h", "text").mapInArrow(_band_batches, "h string, bands array<bigint>"), "bands")
     hashed = hashed.select("h", F.explode("bands").alias("band"))
     shared = hashed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     hashed = staged(hashed.join(shared, "band", "left_semi"), "buckets")
     near = staged(texts.join(hashed.select("h").distinct(), "h", "left_semi").select("h", "text"), "near")
     tails = near.join(seeking, "h", "left_semi").mapInArrow(_tail_batches, "h string, last string, tail bigint")
-    tails = staged(tails.join(hashed, "h"), "tails")
+    tails = staged(tails.join(seeking, "h").join(hashed, "h"), "tails")
     inside = near.mapInArrow(_inside_batches, "other string, tail bigint, there string, goes string, n_words int")
     inside = inside.join(tails.select("tail").distinct(), "tail", "left_semi")
     inside = staged(inside.join(hashed.select(F.col("h").alias("other"), "band"), "other"), "inside")
-    alike = (F.col("h") != F.col("other")) & F.col("there").startswith(F.col("last")) & ((F.col("there") != F.col("last")) | (F.col("goes") != ""))
+    alike = (F.col("h") != F.col("other")) & F.col("there").startswith(F.col("last")) & ((F.col("there") != F.col("last")) | (F.col("goes") == "cut") | (F.col("open") & (F.col("goes") == "end")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter(alike).select("h", "other").distinct()
@@ -314,7 +334,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     score = F.when(n("3") >= KNOWN, rate("3")).when(n("2") >= KNOWN, rate("2")).when(n("1") >= KNOWN, F.greatest(rate("1"), F.lit(TERMINAL) / 2))
     scored = scored.select("h", "state", score.alias("score"), (F.col("e1").isNull() & F.col("stem").isNotNull()).alias("part"), (n("2") > 0).alias("seen"))
 
-    aligned = _aligned(texts, open_.select("h"))
+    aligned = _aligned(texts, ends.filter("state in ('done', 'prose', 'line')").select("h", (F.col("state") != "done").alias("open")))
 
     answers = staged(ends.select("h", F.col("state").alias("s")).join(scored.drop("state"), "h", "left").join(aligned, "h", "left"), "answers")
     sized = docs.select("id", "source", "h", F.length("text").alias("chars"), F.octet_length("text").alias("octets")).join(answers, "h", "left")
