@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from waypost.llm import spelling
 from waypost.llm.address_parse import parse, town_key, zip_code
 from waypost.llm.addresses import same_address_pairs
 from waypost.llm.name_parse import parse_name
@@ -70,3 +73,24 @@ def test_names_merge_and_rematch(spark):
     pairs = {tuple(r) for r in same_name_pairs(df).collect()}
     assert all(a < b for a, b in pairs) and len(pairs) == 3 + 3
     assert same_name_pairs(df.limit(0)).count() == 0
+
+
+def test_every_pair_within_the_allowed_edits_shares_a_key(spark):
+    r = random.Random(7)
+
+    def edited(w, n):
+        for _ in range(n):
+            i = r.randrange(len(w))
+            w = r.choice([w[:i] + r.choice("aeklr") + w[i:], w[:i] + w[i + 1 :], w[:i] + r.choice("aeklr") + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]]) or "a"
+        return w
+
+    pairs = [("firtwoomrut", "flirtwoomrunt"), ("keerngreanmeacck", "keerngreenmeack"), ("abcdefg", "bacdegf"), ("aaaaa", "aaaaaa")]
+    pairs += [(edited(w, r.randint(0, 3)), w) for _ in range(4000) for w in ["".join(r.choice("aeklrst") for _ in range(r.randint(4, 16)))]]
+    df = spark.createDataFrame(pairs, "a string, b string").filter(spelling.close(F.col("a"), F.col("b")))
+    shared = F.arrays_overlap(spelling.seeking_keys(F.col("a")), spelling.sought_keys(F.col("b"))) & F.arrays_overlap(spelling.seeking_keys(F.col("b")), spelling.sought_keys(F.col("a")))
+    assert df.count() > 2000 and df.filter(~shared & ((F.length("a") > 3) & (F.length("b") > 3))).collect() == []
+
+
+def test_corrections_of_edits_in_both_halves(spark):
+    words = spark.createDataFrame([("flirtwoomrunt", 186), ("firtwoomrut", 1), ("keerngreenmeack", 90), ("keerngreanmeacck", 1)], "word string, n long")
+    assert {r["word"]: r["correct"] for r in spelling.corrections(words, []).collect()} == {"firtwoomrut": "flirtwoomrunt", "keerngreanmeacck": "keerngreenmeack"}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.name_parse import parse_name
-from waypost.llm.spelling import SUPPORT, close, corrections, typo_distance, word_keys
+from waypost.llm.spelling import SUPPORT, close, corrections, seeking_keys, sought_keys, typo_distance
 from waypost.session import staged
 
 PARTS = ("kind", "word", "own", "spec", "cred", "mid")
@@ -82,9 +82,11 @@ def _merges(profiles: DataFrame, rare: DataFrame, few: bool, richer: DataFrame |
     rare: the words that may be misspellings, as a common one isn't (spelling); few: whether they can be broadcast. richer: the entities that merged in the round before. Only pairs with one of them are new then.
     """
     each = profiles.withColumn("raw", F.explode(F.array_union("raws", F.array("word"))))
-    keyed = each.filter("whole").withColumn("k", F.explode(word_keys(F.col("raw")))).select("entity", "kind", "word", "own", "spec", "n", "raw", "k")
-    odd = keyed.join(rare, ["kind", "word"], "left_semi").select(keyed.columns)
-    odd = F.broadcast(odd) if few else odd
+    words = each.filter("whole").select("entity", "kind", "word", "own", "spec", "n", "raw")
+    odd = words.join(rare, ["kind", "word"], "left_semi").select(words.columns)
+    block = odd.select("kind", "own", "spec").distinct()
+    keyed = words.join(F.broadcast(block) if few else block, ["kind", "own", "spec"], "left_semi").select(words.columns)
+    odd, keyed = (x.withColumn("k", F.explode(keys(F.col("raw")))) for x, keys in ((odd, seeking_keys), (keyed, sought_keys)))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         two = x.alias("a").join(y.alias("b"), ["kind", "own", "spec", "k"]).filter(F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity"))
