@@ -1,5 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from waypost.llm import matching
 from waypost.llm.matching import department_class, found_pairs, matched
 
 COLS = "name string, address1 string, address2 string, city string, state string, postal_code string, department string"
@@ -34,3 +36,18 @@ def test_found(spark):
 def test_departments(spark):
     df = spark.createDataFrame([("Med. Records",), ("HIM / Medical Records",), ("Pt. Accounts",), ("H.R.",), ("N/A",), (None,), ("Radiolgy",)], "d string")
     assert [r["x"] for r in df.select(department_class(F.col("d")).alias("x")).collect()] == ["medical records", "medical records", "patient accounts", "human resources", "", "", "radiology"]
+
+
+def test_the_mixture_settles(spark):
+    r = np.random.default_rng(3)
+    grid = lambda mean: tuple(int(np.clip(round(m * t + r.normal(0, 0.12 * t)), 0, t)) for m, t in zip(mean, matching.TOPS))
+    cell = lambda c: int(np.ravel_multi_index(c, [t + 1 for t in matching.TOPS]))
+    vs = [cell(grid((0.75, 1, 1, 0.9, 0.5, 0.5, 1) if i % 8 == 0 else (0.55, 1, 1, 0.8, 0.5, 0.5, 0.6))) for i in range(1500)]
+    rows = [(i, [(v, True, [(i, True)])]) for i, v in enumerate(vs)]
+    groups = spark.createDataFrame(rows, "block_id long, groups array<struct<v int, same_name boolean, refs array<struct<ref_ord long, agrees boolean>>>>")
+    got = {x["block_id"]: x["posterior"] for x in matching._with_posteriors(groups).collect()}
+    used, n = np.unique(vs, return_counts=True)
+    hist = matching._vector(used)
+    p = np.array([got[vs.index(v)] for v in used])
+    again = matching._fit(hist, n, p)
+    assert np.abs(again - np.log(np.clip(p, 1e-13, 1 - 1e-13) / (1 - np.clip(p, 1e-13, 1 - 1e-13))))[(p > 1e-6) & (p < 1 - 1e-6)].max() < 0.05

@@ -11,6 +11,7 @@ department and postal code - are rounded to a grid, so the mixture is fitted on
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,11 @@ from waypost.llm.names import entities
 from waypost.llm.spelling import close
 from waypost.session import staged
 
+log = logging.getLogger(__name__)
+
 RIDGE = 0.01  # added to every variance
-STEPS = 4
+SETTLED = 0.05  # change of the log odds under which the mixture has settled
+STEPS = 500  # bound of the iterations, far above what settling takes; reaching it is reported
 CONFIDENT = 0.3  # two groups that are one entity under unmerged spellings share the posterior
 
 
@@ -147,7 +151,9 @@ def _with_posteriors(groups: DataFrame) -> DataFrame:
         hist = _vector(used)
         resp = np.clip(hist[:, :4].mean(1), 0.02, 0.98) ** 3  # where EM starts: the mean similarity of name and street
         odds[used] = _fit(hist, counts[used], resp)
-    for _ in range(STEPS if len(used) else 0):
+        # blocks whose groups have the same vectors share their posteriors
+        vs = staged(vs.select(F.sort_array("v").alias("v")).groupBy("v").agg(F.count("*").alias("n")), "patterns")
+    for step in range(STEPS if len(used) else 0):
         now = odds.copy()
 
         def expectation(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
@@ -157,7 +163,7 @@ def _with_posteriors(groups: DataFrame) -> DataFrame:
                 v = col.flatten().to_numpy(zero_copy_only=False)
                 if len(v):
                     o = col.offsets.to_numpy()
-                    won += np.bincount(v, _shares(o - o[0], v, now), CELLS)
+                    won += np.bincount(v, _shares(o - o[0], v, now) * np.repeat(b.column(1).to_numpy(), np.diff(o)), CELLS)
             at = np.flatnonzero(won)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(won[at], pa.float64())], names=["v", "p"])
 
@@ -165,8 +171,12 @@ def _with_posteriors(groups: DataFrame) -> DataFrame:
         for r in vs.mapInArrow(expectation, "v int, p double").groupBy("v").agg(F.sum("p").alias("p")).collect():
             got[r["v"]] = r["p"]
         odds[used] = _fit(hist, counts[used], np.clip(got[used] / counts[used], 0, 1))
-        if np.abs(odds[used] - now[used]).max() < 0.05:
+        if np.abs(odds[used] - now[used]).max() < SETTLED:
+            log.info("mixture settled after %d steps", step + 1)
             break
+    else:
+        if len(used):
+            log.warning("mixture not settled after %d steps; the posteriors are those of an unfinished fit", STEPS)
     final = odds.copy()
 
     def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
