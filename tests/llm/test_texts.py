@@ -191,3 +191,8 @@ def test_properly_ended_copies_are_found(spark):
         rows += [(name, short, "a"), (f"{name} long", short + rest, "a")]
     df = spark.createDataFrame(rows, "doc_id string, text string, source string")
     assert {r["doc_id"] for r in truncation.truncated(df).collect() if r["truncated"]} == {"title", "street", "note", "phone"}
+
+
+@pytest.mark.parametrize("email", ["jo{at}x.org", "jo<at>x.org", "jo {@} x.org", "jo(at )x.org", "jo@x[dot]org", "jo@x dot org", "jo@mail (dot) x dot org"])
+def test_each_disguise_alone_is_redacted(email):
+    assert redact(f"Write to {email}, please") == "Write to [EMAIL], please"

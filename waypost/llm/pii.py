@@ -72,6 +72,8 @@ def _rewrite(text: str, at: Source | None, edits: list[tuple[int, int, str]]) ->
 
 _MARKED_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
 _MARKED_DOT = re.compile(r"\s*[\[({]\s*(?:dot|punto|\.)\s*[\])}]\s*", re.I)
+_AT_MARK = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]")
+_DOT_MARK = re.compile(r"[\[({]\s*(?:dot|punto|\.)\s*[\])}]")
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 _AT = re.compile(r" at | ?@ | @|(?<=\w) arroba ", re.I)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
@@ -92,7 +94,7 @@ def normalise(text: str) -> tuple[str, Source | None]:
         if edits:
             text, at = _rewrite(text, at, edits)
     low = text.lower()
-    if " at " in low or "at]" in low or "at)" in low or "at }" in low or "@ " in low or " @" in low or "arroba" in low or "at >" in low or "(@" in low or "[@" in low:
+    if " at " in low or "@ " in low or " @" in low or "arroba" in low or _AT_MARK.search(low) or "@" in low and (" dot " in low or _DOT_MARK.search(low)):
         edits = [(m.start(), m.end(), "@") for m in _MARKED_AT.finditer(text) if m.start() and text[m.start() - 1].isalnum()]
         if edits:
             text, at = _rewrite(text, at, edits)
