@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one of this machine only where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; others are refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; it is unset and the master is {master}")
         folder = "file://" + tempfile.mkdtemp(prefix="waypost-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
