@@ -8,21 +8,22 @@ from functools import lru_cache
 from waypost.llm.address_parse import PLACEHOLDERS, _edit1
 from waypost.llm.people import CREDENTIALS, GIVEN, TITLES
 
-# Words of organisations' names after their full form, with the short forms in use.
+# Words of organisations' names with the customary (postal and clinical) short forms; clippings that people make up
+# are learned from the corpus (names.short_forms).
 SITES = {
-    "bayfront": "bayfrt bayfr", "canyon": "cyn", "central": "cntrl ctrl", "community": "comm cmty", "county": "cnty", "creek": "crk", "crossing": "xing crsg",
-    "eastfield": "eastfld", "estates": "ests est", "forest": "frst", "gardens": "gdns gdn", "grove": "grv", "harbor": "hbr harbour", "heights": "hts hgts", "island": "isl",
-    "junction": "jct", "lake": "lk", "lighthouse": "lighths lthse", "meadow": "mdw meadows", "memorial": "mem meml", "metropolitan": "metro metrop", "mountain": "mtn",
-    "northside": "nside northsd", "park": "pk", "parkside": "pkside parksd", "plains": "plns", "point": "pt", "prairie": "prr", "regional": "reg regl", "ridge": "rdg", "river": "rvr riv",
-    "shores": "shrs", "southgate": "sgate southgt", "springs": "spgs spg", "summit": "smt", "terrace": "ter terr", "university": "univ", "valley": "vly", "village": "vlg vill",
-    "westbrook": "westbrk", "hill": "hills", "bay": "", "coastal": "", "general": "", "saint": "st", "downtown": "", "riverside": "", "lakeside": "",
+    "bayfront": "", "canyon": "cyn", "central": "cntrl ctrl", "community": "comm", "county": "cnty", "creek": "crk", "crossing": "xing",
+    "eastfield": "", "estates": "ests est", "forest": "frst", "gardens": "gdns gdn", "grove": "grv", "harbor": "hbr harbour", "heights": "hts", "island": "isl",
+    "junction": "jct", "lake": "lk", "lighthouse": "", "meadow": "mdw meadows", "memorial": "mem", "metropolitan": "metro", "mountain": "mtn",
+    "northside": "", "park": "pk", "parkside": "", "plains": "plns", "point": "pt", "prairie": "prr", "regional": "reg", "ridge": "rdg", "river": "rvr riv",
+    "shores": "shrs", "southgate": "", "springs": "spgs spg", "summit": "smt", "terrace": "ter", "university": "univ", "valley": "vly", "village": "vlg vill",
+    "westbrook": "", "hill": "hills", "bay": "", "coastal": "", "general": "", "saint": "st", "downtown": "", "riverside": "", "lakeside": "",
 }
 SPECIALTIES = {
-    "allergy": "allrgy", "ambulance": "amb", "audiology": "aud", "cardiology": "cardio card", "chiropractic": "chiro", "dental": "dntl", "dermatology": "derm",
-    "diagnostic": "diag", "endocrinology": "endo", "family": "fam", "gastroenterology": "gastro", "home": "", "hospice": "hspc", "infusion": "infsn", "internal": "int",
+    "allergy": "", "ambulance": "amb", "audiology": "aud", "cardiology": "cardio card", "chiropractic": "chiro", "dental": "", "dermatology": "derm",
+    "diagnostic": "diag", "endocrinology": "endo", "family": "fam", "gastroenterology": "gastro", "home": "", "hospice": "", "infusion": "", "internal": "int",
     "laboratory": "lab labs", "nephrology": "neph", "neurology": "neuro", "occupational": "occ", "oncology": "onc", "orthopedic": "ortho orthopaedic orthopedics", "pain": "",
     "pediatric": "peds pediatrics ped", "physical": "phys", "podiatry": "pod", "psychiatry": "psych", "rehabilitation": "rehab", "rheumatology": "rheum", "sleep": "", "surgical": "surg surgery",
-    "urgent": "uc urg", "urology": "uro", "veterans": "vets vet", "vision": "vsn", "women": "womens womans wmns", "wound": "", "radiology": "rad", "imaging only": "",
+    "urgent": "uc", "urology": "uro", "veterans": "vets vet", "vision": "", "women": "womens womans", "wound": "", "radiology": "rad", "imaging only": "",
 }
 FORMS = "center ctr centre group grp clinic clin clinics institute inst associates assoc assocs hospital hosp partners ptnrs prtnrs services svcs service specialists spec specialist".split()
 FILLERS = "health hlth medicine med medical care imaging img management mgmt mgt therapy thpy ther disorders disorder dis of the and at for in inc llc pllc pc ltd corp co lp main campus office".split()
@@ -31,6 +32,7 @@ _WORD = {s: ("site", full) for full, short in SITES.items() for s in (full, *sho
 _WORD |= {s: ("spec", full) for full, short in SPECIALTIES.items() for s in (full, *short.split())}
 _WORD |= {w: ("form", w) for w in FORMS} | {w: ("filler", w) for w in FILLERS}
 _LONG = [w for w in (*SITES, *SPECIALTIES, *FORMS) if len(w) >= 5 and " " not in w]
+_SIDES = {"n": "north", "s": "south", "e": "east", "w": "west"}
 NOT_NAMES = PLACEHOLDERS | {"unknown facility", "unknown provider", "records custodian", "custodian of records", "medical records", "to be determined", "pending", "test"}
 
 
@@ -66,21 +68,20 @@ def _person(words: list[str], comma: int) -> tuple[str, ...] | None:
 
 
 @lru_cache(100_000)
-def parse_name(name: str | None) -> tuple[str, str, str, str, str, str]:
-    """(kind, word, site or given name, specialty, credential, middle initial).
+def parse_name(name: str | None) -> tuple[str, str, str, str, str, str, str]:
+    """(kind, word, site or given name, specialty, credential, middle initial, pieces).
 
     kind is 'org', 'person' or '' (blank, placeholder, several names with ';'). word is the organisation's own word, joined where it
-    was typed in pieces, or the surname. Parts that are missing are ''.
+    was typed in pieces, or the surname; pieces has them apart, one of which may be a clipped site or specialty. Missing parts are ''.
     """
-    none = ("",) * 6
+    none = ("",) * 7
     if name is None or ";" in name:
         return none
     text = re.sub(r"\s+", " ", name.lower().replace("’", "'")).strip()
     if text.strip(" .,-") in NOT_NAMES or text in NOT_NAMES:
         return none
     text = re.sub(r"\(.*?\)", " ", text).replace("'s", "s").replace("'", "")
-    text = re.sub(r"\b(n|north)\.? ?side\b", "northside", text)
-    text = re.sub(r"\b(s|south)\.? ?gate\b", "southgate", text)
+    text = re.sub(r"\b(?:(n)orth|(s)outh|(e)ast|(w)est|([nsew]))\.? ?(side|gate|field|brook)\b", lambda m: _SIDES["".join(x or "" for x in m.groups()[:5])] + m[6], text)
     text = re.sub(r"\b([a-z])\.([a-z])\.(?:([a-z])\.?)?", r"\1\2\3", text)
     head = re.findall(r"[a-z]+", text.split(",")[0]) if "," in text else []
     words = re.findall(r"[a-z]+", text)
@@ -94,7 +95,7 @@ def parse_name(name: str | None) -> tuple[str, str, str, str, str, str]:
         before = [w for w in head if w not in TITLES and w not in CREDENTIALS]
         if found := _person(plain, len(before) if "," in text and len(before) < len(plain) else 0):
             family, given, middle = found
-            return "person", family, given, "", cred, middle
+            return "person", family, given, "", cred, middle, family
     site, spec, own = [], [], []
     points = []
     for i, (w, k) in enumerate(zip(words, kinds)):
@@ -113,6 +114,9 @@ def parse_name(name: str | None) -> tuple[str, str, str, str, str, str]:
                 own.remove(w)
                 if k != "form":
                     (site if k == "site" else spec).append(full)
+    pieces = own
+    if len(points) == 1 and len(own) > 1 and not (site and spec):
+        points, pieces = [], [*own, "pt"]  # point or physical therapy, as the other pieces turn out
     for _ in points:
         if not spec and (site or len(points) > 1):
             spec.append("physical")
@@ -121,6 +125,6 @@ def parse_name(name: str | None) -> tuple[str, str, str, str, str, str]:
         elif not spec:
             spec.append("physical")
     if not own and site:
-        own = [site.pop(0)]
+        pieces = own = [site.pop(0)]
     word = "".join(own)
-    return ("org", word, "+".join(sorted(set(site))), "+".join(sorted(set(spec))), "", "") if word else none
+    return ("org", word, "+".join(sorted(set(site))), "+".join(sorted(set(spec))), "", "", " ".join(pieces)) if word else none

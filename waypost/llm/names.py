@@ -4,29 +4,32 @@ Method: merge-and-rematch. Each distinct name is parsed to a profile (organisati
 surname, given name, credential, middle initial). Profiles that agree merge, and a merged profile holds the union of its members'
 spellings, initials and credentials. Richer profiles re-enter blocking until no profile merges any more:
 
-* spellings: a rare own word or surname merges into the frequent one it misspells, over the whole corpus (spelling.corrections);
+* spellings: an own word or surname merges into the much more frequent one it misspells, over the whole corpus (spelling.corrections);
+* clippings: "Quellor Bayfr Cardiology" merges into "Quellor Bayfront Cardiology", as the odd piece abbreviates the site or specialty
+  that another name with the same own word has in its place. What is learned so holds for the other names with that clipping, whose
+  remaining pieces then re-enter (short_forms);
 * within one site and specialty (or one given name), a word near any spelling of a richer profile merges into it;
 * a profile that lacks a part (site, specialty, given name known by its initial only) merges if exactly one richer profile agrees
   with all it has; credentials and middle initials that differ are conflicts there.
 
-Specialties, site words and given names that are different words never merge.
+Specialties, site words and given names that are different words never merge. Every merge takes a profile away and every clipping a
+piece, so both loops end; neither has a bound of rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waypost.llm.name_parse import parse_name
-from waypost.llm.spelling import SUPPORT, close, corrections, seeking_keys, sought_keys, typo_distance
+from waypost.llm.spelling import close, corrections, seeking_keys, sought_keys, typo_distance
 from waypost.session import staged
 
-PARTS = ("kind", "word", "own", "spec", "cred", "mid")
-BROADCAST_NAMES = 10_000  # names with an uncommon word: up to so many are sent to all executors (some 10 MB), more are shuffled
-ROUNDS = 8  # a merge needs a richer profile, so a few rounds reach the fixed point; this only bounds a faulty loop
+PARTS = ("kind", "word", "own", "spec", "cred", "mid", "pieces")
+EVIDENCE = 3  # words beside which a clipping must have been seen to be read so beside a word that is not known
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,36 +38,87 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(p, pa.string()) for p in parts], names=[b.schema.names[0], *PARTS])
 
 
+def _abbreviates(short: Column, full: Column) -> Column:
+    """Whether short has some letters of the longer word full in their order, the first one included."""
+    return (F.length(short) >= 2) & (F.length(short) < F.length(full)) & F.rlike(full, F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*")))
+
+
+def short_forms(orgs: DataFrame) -> DataFrame:
+    """(raw, own, spec, pieces, word, to_own, to_spec): what becomes of organisations of several pieces one of which is a clipping.
+
+    orgs: distinct (raw, own, spec, pieces). A piece is a clipping if its site or specialty is missing and it abbreviates the full form
+    that most words have in that place beside the same other part; full forms of equal weight leave it alone. What is left without it
+    must be a word that is also typed in one piece, or else EVIDENCE words must have shown the clipping. Loops until no name changes.
+    """
+    known = staged(orgs.filter("pieces not like '% %'").select(F.col("raw").alias("rest"), F.lit(True).alias("known")).distinct(), "known")
+    full = staged(orgs.filter("own <> '' or spec <> ''").select(F.col("raw").alias("rest"), F.col("own").alias("f_own"), F.col("spec").alias("f_spec")).distinct(), "full")
+    many = orgs.filter("pieces like '% %'").select("raw", "own", "spec", "pieces", F.col("raw").alias("word"), F.col("own").alias("to_own"), F.col("spec").alias("to_spec"), F.split("pieces", " ").alias("left"))
+    now, evidence = staged(many.withColumn("changed", F.lit(True)), "clipped"), None
+    while True:
+        open_ = now.filter("changed and size(left) > 1 and (to_own = '' or to_spec = '')").withColumn("i", F.explode(F.sequence(F.lit(1), F.size("left"))))
+        rest = F.concat(F.slice("left", F.lit(1), F.col("i") - 1), F.slice("left", F.col("i") + 1, F.size("left")))
+        open_ = open_.withColumn("piece", F.element_at("left", F.col("i"))).withColumn("less", rest).withColumn("rest", F.array_join("less", "")).drop("i")
+        open_ = staged(open_.join(known, "rest", "left").select("raw", "own", "spec", "pieces", "to_own", "to_spec", "less", "piece", "rest", "known"), "open")
+        beside = open_.filter("known").join(full, "rest")
+        site = (F.col("to_own") == "") & (F.col("f_own") != "") & (F.col("to_spec") == F.col("f_spec")) & _abbreviates(F.col("piece"), F.col("f_own"))
+        spec = (F.col("to_spec") == "") & (F.col("f_spec") != "") & (F.col("to_own") == F.col("f_own")) & (_abbreviates(F.col("piece"), F.col("f_spec")) | ((F.col("piece") == "pt") & (F.col("f_spec") == "physical")))
+        seen = beside.select("piece", "rest", F.when(site, F.struct(F.lit("own").alias("part"), F.col("f_own").alias("full"))).when(spec, F.struct(F.lit("spec").alias("part"), F.col("f_spec").alias("full"))).alias("f"))
+        seen = seen.filter("f is not null").distinct()
+        evidence = staged(seen if evidence is None else evidence.unionByName(seen).distinct(), "evidence")
+        seen = evidence.groupBy("piece", "f").agg(F.count("*").alias("n"))
+        learned = seen.groupBy("piece", "f.part").agg(F.max_by("f", F.struct("n", "f")).alias("f"), F.max("n").alias("n"), F.sort_array(F.collect_list("n"), False).alias("ns"))  # as many as there are full forms
+        learned = learned.filter("size(ns) = 1 or ns[0] > ns[1]").select("piece", "part", "f.full", "n")
+        hits = open_.join(learned, "piece").filter(f"((part = 'own' and to_own = '') or (part = 'spec' and to_spec = '')) and (known or n >= {EVIDENCE})")
+        key = ["raw", "own", "spec", "pieces"]
+        hits = staged(hits.groupBy(*key).agg(F.max_by(F.struct("rest", "part", "full", "less"), F.struct(F.coalesce("known", F.lit(False)).alias("known"), "n", "piece", "full")).alias("hit")), "hits")
+        if hits.isEmpty():
+            left = F.array_contains("left", "pt")
+            own, spec = F.when(left & (F.col("to_own") == ""), "point").otherwise(F.col("to_own")), F.when(left & (F.col("to_own") != "") & (F.col("to_spec") == ""), "physical").otherwise(F.col("to_spec"))
+            return now.select(*key, F.when(left, F.array_join(F.array_remove("left", "pt"), "")).otherwise(F.col("word")).alias("word"), own.alias("to_own"), spec.alias("to_spec"))
+        now = now.join(hits, key, "left")
+        took = lambda p: F.when(F.col("hit.part") == p, F.col("hit.full")).otherwise(F.col(f"to_{p}")).alias(f"to_{p}")
+        now = staged(now.select(*key, F.coalesce("hit.rest", "word").alias("word"), took("own"), took("spec"), F.coalesce("hit.less", "left").alias("left"), F.col("hit").isNotNull().alias("changed")), "clipped")
+
+
+def normalised(rows: DataFrame, p: str = "") -> DataFrame:
+    """rows with their name's parts (p + PARTS, as parsed; kind not '') corrected, and p + raw, p + whole.
+
+    raw is the word as typed; word, own and spec are without misspellings and clippings. whole: nothing is missing from the name. Other
+    columns are kept.
+    """
+    c = lambda x: f"{p}{x}"
+    distinct = staged(rows.select(*[F.col(c(x)).alias(x) for x in PARTS]).distinct(), "parts")
+    orgs = distinct.filter("kind = 'org'").select(F.col("word").alias("raw"), "own", "spec", "pieces").distinct()
+    clips = short_forms(staged(orgs, "orgs")).filter("own <> to_own or spec <> to_spec").withColumn("kind", F.lit("org"))
+    clips = staged(clips, "clips")
+    key = ["kind", "raw", "own", "spec", "pieces"]
+    apart = distinct.withColumnRenamed("word", "raw").join(clips, key, "left").groupBy("kind", F.coalesce("word", "raw").alias("word")).agg(F.count("*").alias("n"))
+    words = staged(corrections(apart, ["kind"]), "corrected")
+    clips = clips.join(words, ["kind", "word"], "left").select(*[F.col(x).alias(c(x)) for x in key], F.coalesce("correct", "word").alias("_word"), F.col("to_own").alias("_own"), F.col("to_spec").alias("_spec"))
+    rows = rows.withColumnRenamed(c("word"), c("raw")).join(words.select(F.col("kind").alias(c("kind")), F.col("word").alias(c("raw")), "correct"), [c("kind"), c("raw")], "left")
+    rows = rows.join(staged(clips, "clips"), [c(x) for x in key], "left")
+    rows = rows.withColumns({c("word"): F.coalesce("_word", "correct", c("raw")), c("own"): F.coalesce("_own", c("own")), c("spec"): F.coalesce("_spec", c("spec"))}).drop("_word", "_own", "_spec", "correct", c("pieces"))
+    own, spec = F.col(c("own")), F.col(c("spec"))
+    return rows.withColumn(c("whole"), (own != "") & F.when(F.col(c("kind")) == "org", spec != "").otherwise(F.length(own) > 1))
+
+
 def entities(names: DataFrame) -> DataFrame:
     """(name, kind, entity): each distinct value of the column ``name`` that names one organisation or person, with its entity.
 
     Nulls, blanks, placeholders and values with ';' have no entity and don't appear; repeated values appear once.
     """
-    n = names.select(F.col("name").cast("string")).filter("name is not null and name not like '%;%'").groupBy("name").agg(F.count("*").alias("n"))
+    n = names.select(F.col("name").cast("string")).filter("name is not null and name not like '%;%'").distinct()
     schema = "name string, " + ", ".join(f"{p} string" for p in PARTS)
-    rows = staged(n.select("name").mapInArrow(_parse_batches, schema).filter("kind <> ''"), "names")
-
-    words = corrections(rows.groupBy("kind", "word").agg(F.count("*").alias("n")), ["kind"])
-    rows = rows.withColumnRenamed("word", "raw").join(words.withColumnRenamed("word", "raw"), ["kind", "raw"], "left")
-    rows = rows.withColumn("word", F.coalesce("correct", "raw")).drop("correct")
-    whole = (F.col("own") != "") & F.when(F.col("kind") == "org", F.col("spec") != "").otherwise(F.length("own") > 1)
-    loose = F.when(whole, "").otherwise(F.concat_ws("|", "cred", "mid"))  # initials alone aren't joined over credentials
-    rows = rows.withColumn("entity", F.concat_ws("|", F.substring("kind", 1, 1), "word", "own", "spec", loose)).withColumn("whole", whole)
-    rows = staged(rows, "profiles")
+    rows = normalised(staged(n.mapInArrow(_parse_batches, schema).filter("kind <> ''"), "names"))
+    loose = F.when(F.col("whole"), "").otherwise(F.concat_ws("|", "cred", "mid"))  # initials alone aren't joined over credentials
+    rows = staged(rows.withColumn("entity", F.concat_ws("|", F.substring("kind", 1, 1), "word", "own", "spec", loose)), "profiles")
 
     profiles = rows.groupBy("entity", "kind", "word", "own", "spec", "whole").agg(
         F.count("*").alias("n"), F.collect_set("raw").alias("raws"), F.array_remove(F.collect_set("cred"), "").alias("creds"), F.array_remove(F.collect_set("mid"), "").alias("mids")
     )
-    links = None
-    profiles = staged(profiles, "merged")
-    totals = profiles.groupBy("kind", "word").agg(F.sum("n").alias("t"))
-    least = profiles.agg(F.greatest(F.lit(3.0), F.sum("n") * SUPPORT)).scalar()
-    rare = staged(totals.filter(F.col("t") < least).select("kind", "word", "t"), "rare")
-    few = (rare.agg(F.sum("t").alias("t")).first()["t"] or 0) <= BROADCAST_NAMES
-    rare = rare.drop("t")
-    richer = None
-    for _ in range(ROUNDS):
-        found = staged(_merges(profiles, F.broadcast(rare) if few else rare, few, richer), "found")
+    profiles, links, richer = staged(profiles, "merged"), None, None
+    while True:
+        found = staged(_merges(profiles, richer), "found")
         if found.isEmpty():
             break
         richer = found.select(F.col("into").alias("entity")).distinct()
@@ -76,33 +130,41 @@ def entities(names: DataFrame) -> DataFrame:
     return out.join(links, "entity", "left").select("name", "kind", F.coalesce("into", "entity").alias("entity"))
 
 
-def _merges(profiles: DataFrame, rare: DataFrame, few: bool, richer: DataFrame | None = None) -> DataFrame:
+def _merges(profiles: DataFrame, richer: DataFrame | None = None) -> DataFrame:
     """(entity, into): merges of this round; into is never itself merged in the same round.
 
-    rare: the words that may be misspellings, as a common one isn't (spelling); few: whether they can be broadcast. richer: the entities that merged in the round before. Only pairs with one of them are new then.
+    The words of profiles look for near spellings among all spellings of the others; what is already corrected doesn't look again, so
+    the pairs don't grow with the square of a word's misspellings. richer: the entities that merged in the round before. Only pairs
+    with one of them are new then.
     """
-    each = profiles.withColumn("raw", F.explode(F.array_union("raws", F.array("word"))))
-    words = each.filter("whole").select("entity", "kind", "word", "own", "spec", "n", "raw")
-    odd = words.join(rare, ["kind", "word"], "left_semi").select(words.columns)
-    block = odd.select("kind", "own", "spec").distinct()
-    keyed = words.join(F.broadcast(block) if few else block, ["kind", "own", "spec"], "left_semi").select(words.columns)
-    odd, keyed = (x.withColumn("k", F.explode(keys(F.col("raw")))) for x, keys in ((odd, seeking_keys), (keyed, sought_keys)))
+    whole = profiles.filter("whole").select("entity", "word", "n", "raws", F.concat_ws("|", "kind", "own", "spec").alias("block"))
+    part, full = profiles.filter("not whole"), profiles.filter("whole")
+
+    def keyed(x: DataFrame, raw: Column, keys: Callable[[Column], Column]) -> DataFrame:
+        x = x.select("entity", "block", "n", raw.alias("raw"))
+        return x.withColumn("k", F.explode(keys(F.col("raw")))).withColumn("k", F.xxhash64("block", "k"))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        two = x.alias("a").join(y.alias("b"), ["kind", "own", "spec", "k"]).filter(F.struct("b.n", "b.entity") > F.struct("a.n", "a.entity"))
-        two = two.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("entity", "raw", "n")])
-        return two.filter((F.col("a_entity") != F.col("b_entity")) & close(F.col("a_raw"), F.col("b_raw")))
+        x, y = keyed(x, F.col("word"), seeking_keys), keyed(y, F.explode(F.array_union("raws", F.array("word"))), sought_keys)
+        two = x.alias("a").join(y.alias("b"), "k").filter("a.entity <> b.entity and a.block = b.block")
+        return two.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("entity", "raw", "n")]).filter(close(F.col("a_raw"), F.col("b_raw")))
 
     if richer is None:
-        close_by = pairs(odd, keyed)
+        close_by = pairs(whole, whole)
     else:
-        new = lambda x: x.join(richer, "entity", "left_semi").select(keyed.columns)
-        close_by = pairs(odd, new(keyed)).unionByName(pairs(new(odd), keyed))
-    rank = F.struct(-typo_distance(F.col("a_raw"), F.col("b_raw")), F.col("b_n"), F.col("b_entity"))
-    near = close_by.groupBy(F.col("a_entity").alias("entity")).agg(F.max_by(F.col("b_entity"), rank).alias("into"))
-
-    part = profiles.filter("not whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("a")
-    full = profiles.filter("whole").select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("b")
+        new = staged(whole.join(richer, "entity", "left_semi"), "new")
+        beside = staged(whole.join(new.select("block").distinct(), "block", "left_semi").select(whole.columns), "beside")
+        close_by = pairs(beside, new).unionByName(pairs(new, beside))
+        again = full.join(richer, "entity", "left_semi").select("kind", "word").distinct()  # only there the one that fits may be another now
+        part, full = (x.join(again, ["kind", "word"], "left_semi") for x in (part, full))
+    smaller = F.struct("a_n", "a_entity") < F.struct("b_n", "b_entity")
+    side = lambda c: (F.when(smaller, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(smaller, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    (less, more), (_, n) = side("entity"), side("n")
+    ranked = close_by.select(less.alias("entity"), more.alias("more"), F.struct((-typo_distance(F.col("a_raw"), F.col("b_raw"))).alias("d"), n.alias("n"), more.alias("e")).alias("rank"))
+    near = ranked.groupBy("entity").agg(F.max_by("more", "rank").alias("into"))
+
+    part = part.select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("a")
+    full = full.select("entity", "kind", "word", "own", "spec", "creds", "mids").alias("b")
     agree = lambda c: (F.size(f"a.{c}") == 0) | (F.size(f"b.{c}") == 0) | F.arrays_overlap(f"a.{c}", f"b.{c}")
     org = (F.col("a.kind") == "org") & F.col("a.own").isin("", F.col("b.own")) & F.col("a.spec").isin("", F.col("b.spec"))
     person = (F.col("a.kind") == "person") & (F.substring("b.own", 1, 1) == F.col("a.own")) & agree("creds") & agree("mids")

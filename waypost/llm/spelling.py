@@ -1,9 +1,8 @@
 """Corrections of rare spellings to frequent ones, learned from the whole corpus.
 
-A word counts as common when its share of all words reaches SUPPORT (three occurrences at least) and no word RATIO times as
-frequent lies within the allowed edits; every other word is mapped to the nearest common one, if there is any. The candidate
-search is an equi-join on keys that no pair within the allowed edits lacks (seeking_keys, sought_keys); only common words are
-searched, so the work per word doesn't grow with the number of misspellings.
+A word that another one RATIO times as frequent comes within the allowed edits of is a misspelling; it is mapped to the nearest such
+word that isn't one itself. Only ratios count, so the answer is the same for a corpus and for ten copies of it. The candidate search
+is an equi-join of distinct words on keys that no pair within the allowed edits lacks (seeking_keys, sought_keys).
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from waypost.session import staged
 
-SUPPORT = 1 / 20_000
 RATIO = 4
 
 
@@ -98,19 +96,13 @@ def corrections(words: DataFrame, scope: list[str], word: str = "word", n: str =
     """
     words = words.filter(F.length(word) >= 4).filter(~F.col(word).rlike("[0-9]"))
     words = staged(words.select(*scope, word, n, letters(F.col(word)).alias("l")), "words")
-    total = words.agg(F.greatest(F.lit(3.0), F.sum(n) * SUPPORT)).scalar()
 
     def keyed(df: DataFrame, p: str, keys: Callable[[Column], Column]) -> DataFrame:
-        return df.select(*scope, F.col(word).alias(f"{p}w"), F.col(n).alias(f"{p}n"), F.col("l").alias(f"{p}l"), F.explode(keys(F.col(word))).alias("k"))
-
-    def nearest(rare: DataFrame, to: DataFrame) -> DataFrame:
-        pairs = keyed(rare, "a", seeking_keys).join(keyed(to, "b", sought_keys), [*scope, "k"])
-        pairs = pairs.filter((F.col("bn") >= RATIO * F.col("an")) & (F.abs(F.length("aw") - F.length("bw")) <= 3))
-        pairs = pairs.select(*scope, "aw", "bw", "bn", _distance(F.levenshtein("aw", "bw", 4), F.col("al") == F.col("bl")).alias("d"))
-        pairs = pairs.filter(F.col("d").between(0, allowed(F.col("aw"), F.col("bw"))))
-        best = F.max_by("bw", F.struct(-F.col("d"), F.col("bn"), F.col("bw")))
-        return pairs.groupBy(*scope, F.col("aw").alias(word)).agg(best.alias("correct"))
-
-    common = words.filter(F.col(n) >= total)
-    anchors = staged(common.join(nearest(common, common), [*scope, word], "left_anti"), "anchors")
-    return nearest(words.join(anchors, [*scope, word], "left_anti"), anchors)
+        return df.select(*scope, F.col(word).alias(f"{p}w"), F.col(n).alias(f"{p}n"), F.col("l").alias(f"{p}l"), F.explode(keys(F.col(word))).alias("k")).withColumn("k", F.xxhash64(*scope, "k"))
+
+    pairs = keyed(words, "a", seeking_keys).join(keyed(words.filter(F.col(n) >= RATIO), "b", sought_keys), [*scope, "k"])
+    pairs = pairs.filter((F.col("bn") >= RATIO * F.col("an")) & (F.abs(F.length("aw") - F.length("bw")) <= 3))
+    pairs = pairs.select(*scope, "aw", "bw", "bn", _distance(F.levenshtein("aw", "bw", 4), F.col("al") == F.col("bl")).alias("d"))
+    pairs = staged(pairs.filter(F.col("d").between(0, allowed(F.col("aw"), F.col("bw")))).distinct(), "near")
+    sound = pairs.join(pairs.select(*scope, F.col("aw").alias("bw")).distinct(), [*scope, "bw"], "left_anti")
+    return sound.groupBy(*scope, F.col("aw").alias(word)).agg(F.max_by("bw", F.struct(-F.col("d"), F.col("bn"), F.col("bw"))).alias("correct"))
