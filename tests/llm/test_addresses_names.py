@@ -38,11 +38,13 @@ def test_pairs_follow_the_rules(spark):
         (3, "12345 Beskstnoe St", None, "Reedvlile", "TX", "75010"), (4, "12345 Beskstone Street", "Suite 6", "Reedville", "TX", "75001"),
         (5, "12345 Beskstone Avenue", None, "Reedville", "TX", "75001"), (6, "12345 Beskstone", None, None, "TX", None), (7, "12345 Beskstone Street", None, "Elsewhere", "TX", "79901"),
         (8, "PO Box 9", None, "Reedville", "TX", "75001"), (9, "p.o. box 9", None, "Reedville", "TX", None), (10, "unknown", None, "Reedville", "TX", "75001"), (11, None, None, None, None, None),
+        (12, "55 Lone Way", None, None, "NV", "89999"), (13, "55 Lone Wy", "", "-", "nv", "89999"), (14, "55 Lone Way", None, None, "NV", "89111"),
     ]
     rows += [(100 + i, f"{i} Elm Street", None, "Reedville", "TX", "75001") for i in range(1, 30)]
     df = spark.createDataFrame(rows, ROW).withColumn("num", F.lit(1)).withColumn("town", F.lit("x"))
     got = {tuple(r) for r in same_address_pairs(df).collect()}
     assert {(1, 2), (1, 3), (2, 3), (3, 4), (8, 9)} <= got
+    assert (12, 13) in got and not {(12, 14), (13, 14)} & got  # no town can be told: compared within the postal code
     assert not {(1, 4), (2, 4), (1, 5), (1, 7)} & got and not any(10 in p or 11 in p for p in got)
     assert same_address_pairs(df.limit(0)).count() == 0
 
@@ -61,6 +63,34 @@ def test_parse_name(name, want):
     assert parse_name(name)[:4] == want
 
 
+def test_clippings_are_learned(spark):
+    own = ["bavzindmeack", "tearnmerrshath", "criskwanddao", "flomkainvoos"]
+    names = [f"{w} Bayfront Infusion Clinic" for w in own] + [f"{w} Bayfr Infusion Clinic" for w in own[:3]] + [f"{w} Bayfront Infsn Clinic" for w in own[:3]]
+    names += [f"{own[3]} bayfr infsn clinic", "flomkianvoos bayfr infsn grp", "Bavzindmeack Bay Infusion Clinic", "Quellor Stone Dental"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    e = {r["name"]: r["entity"] for r in entities(df).collect()}
+    for w in own:
+        assert len({v for n, v in e.items() if n.lower().startswith(w) and " Bay " not in n}) == 1
+    assert e["flomkianvoos bayfr infsn grp"] == e[f"{own[3]} bayfr infsn clinic"]  # two clippings and a misspelling: it re-enters three times
+    assert e["Bavzindmeack Bay Infusion Clinic"] != e[names[0]] and e["Quellor Stone Dental"].startswith("o|quellorstone||dental|")
+
+
+def test_the_links_of_a_corpus_and_of_ten_copies_are_the_same(spark):
+    names = ["Bavzindmeack Prairie Dermatology"] * 4 + ["Bavzindmaeck Prairie Dermatology", "Bavzindmaeck Prr Derm", "Milton Creek Dental Clinic", "Hilton Creek Vision Clinic"]
+    rows = [(f"{n}{' ' * i}",) for i, n in enumerate(names)]
+    of = lambda df: {(r["name"].split("  #")[0], r["entity"]) for r in entities(df).collect()}
+    once, ten = spark.createDataFrame(rows, "name string"), spark.createDataFrame([(f"{n}  #{'-' * i}",) for (n,) in rows for i in range(10)], "name string")
+    assert len({x for _, x in of(once)}) == len({x for _, x in of(ten)}) == 3
+
+
+def test_merging_has_no_bound_of_rounds(spark):
+    """Each spelling is within the allowed edits of the next one only, so the chain takes many merges."""
+    chain = ["abcdefghijklmnop"]
+    for i in range(0, 16, 2):
+        chain.append(chain[-1][:i] + "zz" + chain[-1][i + 2 :])
+    df = spark.createDataFrame([(f"{w.title()} Creek Dental Clinic",) for w in chain], "name string")
+    assert len({r["entity"] for r in entities(df).collect()}) == 1
+
 def test_names_merge_and_rematch(spark):
     names = ["Bavzindmeack Prairie Derm Spec"] * 3 + ["Bavzindmaeck Prairie Dermatology", "bavzindmeack prairie dermatology specialists", "Bavzindmeack Ridge Dermatology Clinic", "Bavzindmeack Prairie Dental Clinic"]
     names += ["Robert Quellstone, MD", "Quellstone, Bob", "R. Quellstone MD", "Rita Quellstone DO", "Quellstone, R.", None, "", "TBD", "A;B"]

@@ -66,7 +66,7 @@ _UNIT = re.compile(
     r"(?:\b(?:suite|ste|suit|unit|un|room|rm|apt|apartment)\b\.?\s*(?:no\b\.?\s*)?#?\s*|#\s*)([a-z]?-?\d+(?:\s*-?\s*[a-z](?![a-z]))?|[a-z])(?![\w])"
 )
 _ROUTE = re.compile(
-    r"^(?:(?P<sr>state\s+(?:route|rte|road|rd|hwy|highway)|st\s+(?:route|rte|rt)|s\.?r\.?)|(?P<cr>(?:county|cnty|cty|co)\s+(?:road|rd|route|rte|hwy|highway)|c\.?r\.?)"
+    r"^(?:(?P<sr>state\s+(?:route|rte|rt|road|rd|hwy|highway)|st\s+(?:route|rte|rt)|s\.?r\.?)|(?P<cr>(?:county|cnty|cty|co)\s+(?:road|rd|route|rte|rt|hwy|highway)|c\.?r\.?)"
     r"|(?P<us>u\.?s\.?\s*(?:highway|hwy|hiway|route|rte)?)|(?P<hw>highway|hwy|hiway|hway|route|rte|rt))\s*[-#]?\s*(?P<n>\d+[a-z]?)\b\s*(?P<rest>.*)$"
 )
 _PLAIN = re.compile(

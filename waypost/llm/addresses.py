@@ -5,7 +5,8 @@ misspelt towns and streets by the corpus itself, then join on hierarchical keys
 explicit rules for what is missing:
 
 * town missing or not known: the town that most rows with the same state and postal code have;
-* town and postal code missing: the only town in which this state has the number and street, if there is just one;
+* town and postal code missing: the only town in which this state has the number and street, if there is just one; rows whose town
+  can't be told at all are compared with each other, within one state and postal code;
 * direction, street type, unit or postal code missing on one side: no conflict; present and different: conflict (postal codes
   that differ by a swap or one digit are misspellings);
 * neither street nor box: the row is in no pair.
@@ -43,24 +44,26 @@ def parsed(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(f).cast("string") for f in FIELDS]).mapInArrow(_parse_batches, schema)
 
 
-def _zip_near(a: Column, b: Column) -> Column:
+def zip_near(a: Column, b: Column) -> Column:
     d = F.levenshtein(a, b, 2)
     return (d >= 0) & ((d <= 1) | (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))))
 
 
-def located(rows: DataFrame, streets: bool = True) -> DataFrame:
-    """parsed() rows that have a street or box, with town and core corrected and missing towns filled in.
+def corrected(rows: DataFrame) -> DataFrame:
+    """parsed() rows with towns and street names corrected by the corpus; every other column is kept. rows is read several times."""
+    towns = corrections(rows.filter("town <> ''").groupBy("st", F.col("town").alias("word")).agg(F.count("*").alias("n")), ["st"])
+    rows_ = rows.join(towns.withColumnRenamed("word", "town"), ["st", "town"], "left").withColumn("town", F.coalesce("correct", "town")).drop("correct")
+    cores = corrections(rows.filter("kind = 'street'").groupBy(F.col("core").alias("word")).agg(F.count("*").alias("n")), [])
+    return rows_.join(cores.withColumnRenamed("word", "core"), "core", "left").withColumn("core", F.coalesce("correct", "core")).drop("correct")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """corrected() rows that have a street or box, with missing towns filled in; every other column is kept.
 
-    Adds ``place`` (state|town or, where no town can be told, '') and keeps every other column. rows is read several times; it
-    should be a staged table.
+    A town that can't be told becomes '@' and the postal code, so that such rows are compared with each other. rows is read several
+    times; it should be a staged table.
     """
-    rows = rows.filter(F.col("kind") != "")
-    towns = corrections(rows.filter("town <> ''").groupBy("st", F.col("town").alias("word")).agg(F.count("*").alias("n")), ["st"])
-    rows = rows.join(towns.withColumnRenamed("word", "town"), ["st", "town"], "left").withColumn("town", F.coalesce("correct", "town")).drop("correct")
-    if streets:
-        cores = corrections(rows.filter("kind = 'street'").groupBy(F.col("core").alias("word")).agg(F.count("*").alias("n")), [])
-        rows = rows.join(cores.withColumnRenamed("word", "core"), "core", "left").withColumn("core", F.coalesce("correct", "core")).drop("correct")
-    rows = staged(rows, "located")
+    rows = rows.filter("kind <> ''")
     by_zip = rows.filter("town <> '' and zip <> ''").groupBy("st", "zip", "town").agg(F.count("*").alias("n"))
     by_zip = by_zip.groupBy("st", "zip").agg(F.max_by("town", F.struct("n", "town")).alias("zip_town"), (F.max("n") / F.sum("n")).alias("share"))
     by_zip = by_zip.filter("share >= 0.5").drop("share")
@@ -68,8 +71,13 @@ def located(rows: DataFrame, streets: bool = True) -> DataFrame:
     rows = rows.join(by_zip, ["st", "zip"], "left").withColumn("town", F.coalesce(usual, "town")).drop("zip_town")
     known = rows.filter("town <> ''")
     only = known.groupBy("st", "kind", "num", "core").agg(F.min("town").alias("t0"), F.max("town").alias("t1")).filter("t0 = t1").drop("t1")
-    lost = rows.filter("town = ''").join(only, ["st", "kind", "num", "core"], "left").withColumn("town", F.coalesce("t0", "town")).drop("t0")
-    return known.unionByName(lost.select(known.columns)).filter("town <> ''")
+    lost = rows.filter("town = ''").join(only, ["st", "kind", "num", "core"], "left").withColumn("town", F.coalesce("t0", F.concat(F.lit("@"), "zip"))).drop("t0")
+    return known.unionByName(lost.select(known.columns))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """parsed() rows that have a street or box, corrected() and settled(); rows should be a staged table."""
+    return settled(staged(corrected(rows.filter("kind <> ''")), "located"))
 
 
 def same_place(a: str, b: str) -> Column:
@@ -77,7 +85,7 @@ def same_place(a: str, b: str) -> Column:
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     free = lambda c: (x(c) == "") | (y(c) == "") | (x(c) == y(c))
     core = (x("core") == y("core")) | (~x("core").rlike("[0-9]") & ~y("core").rlike("[0-9]") & close(x("core"), y("core")))
-    return free("dir") & free("type") & free("unit") & core & ((x("zip") == "") | (y("zip") == "") | (x("zip") == y("zip")) | _zip_near(x("zip"), y("zip")))
+    return free("dir") & free("type") & free("unit") & core & ((x("zip") == "") | (y("zip") == "") | (x("zip") == y("zip")) | zip_near(x("zip"), y("zip")))
 
 
 def same_address_pairs(df: DataFrame, key: str = "ref_ord") -> DataFrame:

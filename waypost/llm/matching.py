@@ -1,12 +1,19 @@
 """Problem 6: matching entities across sources without keys.
 
-Method: candidates share state, town and building number (or the entity, where a block has no address). Each pair has a vector of
+Method: candidates share state, town and building number, or, where a block has no address, the name's word. Each pair has a vector of
 similarities; a mixture of two Gaussians with regularised diagonal covariances separates matched from unmatched vectors without labels
-by expectation-maximisation. Transitivity holds inside every E-step: the locations of one organisation at one place stand or fall
-together, and a block can belong to one such group only, so the groups of a block compete for it. The posterior is the confidence.
+by expectation-maximisation. What is missing on either side is left out of a vector's likelihood. Transitivity holds inside every
+E-step: the locations of one organisation at one place are a group that stands or falls together, and a block can belong to one group
+only or to none, so its groups compete:
 
-The vectors - similarity of the own word or surname, site or given name, specialty, similarity of the street, agreement of unit,
-department and postal code - are rounded to a grid, so the mixture is fitted on a bounded histogram of all candidates (CELLS), while the competition of groups is worked out on the cluster in each step.
+    P(group i | block) = s/m L_i / (1 - s + s/m (L_1 + ... + L_m))
+
+with the likelihood ratios L of its m candidate groups and the share s of blocks that have a match. The posterior is the confidence;
+names decide by nothing else. For a found pair, units, streets and departments of the single rows are checked for conflicts afterwards.
+
+The vectors - similarity of the own word or surname, site or given name, specialty (credential, where only an initial is known),
+street, direction and type, unit, department, postal code - are rounded to a grid, so the mixture is fitted on a histogram of all
+candidates that has at most CELLS cells, and each step works on the distinct patterns of cells that blocks have.
 """
 
 from __future__ import annotations
@@ -19,17 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypost.llm.addresses import FIELDS, located, parsed, same_place
-from waypost.llm.names import entities
-from waypost.llm.spelling import close
+from waypost.llm import addresses, names
+from waypost.llm.address_parse import parse
+from waypost.llm.name_parse import parse_name
 from waypost.session import staged
 
 log = logging.getLogger(__name__)
 
 RIDGE = 0.01  # added to every variance
-SETTLED = 0.05  # change of the log odds under which the mixture has settled
-STEPS = 500  # bound of the iterations, far above what settling takes; reaching it is reported
-CONFIDENT = 0.3  # two groups that are one entity under unmerged spellings share the posterior
+SETTLED = 0.05  # change of the log likelihood ratios under which the mixture has settled
+STEPS = 500  # bound of the iterations, far above what settling takes; reaching it is an error
+CONFIDENT = 0.5  # a pair is found above it, so two groups that fit alike are none
+
+# steps of each feature from 0 to 1; one cell more stands for a missing one
+TOPS = {"word": 10, "own": 2, "spec": 1, "core": 10, "way": 1, "unit": 1, "dept": 1, "zip": 1}
+CELLS = int(np.prod([t + 2 for t in TOPS.values()]))
+
+PLACE = ["st", "town", "kind", "num"]
+NAME = [f"n_{p}" for p in names.PARTS]
 
 
 def department_class(c: Column) -> Column:
@@ -46,186 +60,223 @@ def department_class(c: Column) -> Column:
     return out.otherwise(F.regexp_replace(s, r"[^a-z0-9]+|dep(artmen)?t", ""))
 
 
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        *place, name = (c.to_pylist() for c in b.columns[3:])
+        parts = [*(list(zip(*map(parse, *place))) or [()] * len(addresses.PARTS)), *(list(zip(*map(parse_name, name))) or [()] * len(NAME))]
+        several = pa.array([x is not None and ";" in x for x in name], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], several, *[pa.array(p, pa.string()) for p in parts]], names=[*b.schema.names[:3], "several", *addresses.PARTS, *NAME])
+
+
 def _rows(locations: DataFrame, blocks: DataFrame) -> DataFrame:
-    def side(df: DataFrame, src: str, key: str) -> DataFrame:
-        return df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), F.col("name").cast("string"), department_class(F.col("department")).alias("dept"), *FIELDS)
+    """Both tables parsed (src, id, dept, address parts, name parts), names and towns corrected over both."""
 
-    return staged(parsed(side(locations, "l", "ref_ord").unionByName(side(blocks, "b", "block_id")), ["src", "id", "name", "dept"]), "rows")
+    def side(df: DataFrame, src: str, key: str) -> DataFrame:
+        return df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), department_class(F.col("department")).alias("dept"), *[F.col(f).cast("string") for f in (*addresses.FIELDS, "name")])
+
+    schema = "src string, id bigint, dept string, several boolean, " + ", ".join(f"{c} string" for c in (*addresses.PARTS, *NAME))
+    rows = side(locations, "l", "ref_ord").unionByName(side(blocks, "b", "block_id")).mapInArrow(_parse_batches, schema)
+    # a location without an own name or without an address is in no pair, nor is a block with neither or with several names
+    rows = staged(rows.filter("(n_kind <> '' or (src = 'b' and not several)) and (kind <> '' or (src = 'b' and n_kind <> ''))"), "rows")
+    named = names.normalised(rows.filter("n_kind <> ''"), "n_").drop("n_raw", "n_whole")
+    rows = staged(named.unionByName(rows.filter("n_kind = ''").select(named.columns)), "named")
+    return staged(addresses.corrected(rows), "corrected")
+
+
+def _filled(loc: DataFrame, at: list[str]) -> DataFrame:
+    """loc with g_own and g_spec: site (given name) and specialty, missing ones filled in where all names with that word and key agree."""
+    key = [*at, "n_kind", "n_word"]
+    person = F.col("n_kind") == "person"
+    short = F.when(person, F.length("n_own") < 2).otherwise(F.col("n_own") == "")
+    lacking = short | (~person & (F.col("n_spec") == ""))
+    full = {"own": F.when(~short, F.col("n_own")), "spec": F.nullif("n_spec", F.lit(""))}
+    one = loc.groupBy(*key).agg(*[f(c).alias(f"{n}_{p}") for p, c in full.items() for n, f in (("lo", F.min), ("hi", F.max))])
+    one = one.select(*key, *[F.when(F.col(f"lo_{p}") == F.col(f"hi_{p}"), F.col(f"lo_{p}")).alias(f"one_{p}") for p in full])
+    part = loc.filter(lacking).join(one, key, "left")
+    fits = ~person | F.coalesce(F.substring("one_own", 1, 1) == F.col("n_own"), F.lit(False)) | (F.col("n_own") == "")
+    part = part.withColumns({"g_own": F.when(short & fits, F.coalesce("one_own", "n_own")).otherwise(F.col("n_own")), "g_spec": F.when(F.col("n_spec") == "", F.coalesce("one_spec", "n_spec")).otherwise(F.col("n_spec"))})
+    whole = loc.filter(~lacking).withColumns({"g_own": F.col("n_own"), "g_spec": F.col("n_spec")})
+    return whole.unionByName(part.select(whole.columns))
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    long = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).otherwise(F.round(F.lit(1.0) - F.levenshtein(a, b) / F.greatest(long, F.lit(1)), 1))
+    return F.when(a == b, 1.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
 def _agreement(a: Column, b: Column) -> Column:
-    return F.when((a == "") | (b == ""), 0.5).when(a == b, 1.0).otherwise(0.0)
+    """1 or 0; null where a side is missing."""
+    return F.when((a != "") & (b != ""), F.when(a == b, 1.0).otherwise(0.0))
+
+
+def _features(x: str, y: str, placed: bool = True) -> dict[str, Column]:
+    """The similarities (0 to 1, null where missing) of two rows, aliases x and y; placed: whether both have an address."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    alike = a("n_kind") == b("n_kind")
+    known = (a("n_kind") != "") & (b("n_kind") != "")
+    person = alike & (a("n_kind") == "person")
+    initial = (F.length(a("n_own")) == 1) | (F.length(b("n_own")) == 1)
+    given = F.when(a("n_own") == b("n_own"), 1.0).when(initial & (F.substring(a("n_own"), 1, 1) == F.substring(b("n_own"), 1, 1)), 0.5).otherwise(0.0)
+    letters = [_agreement(a(c), b(c)) for c in ("n_cred", "n_mid")]
+    none = F.lit(None).cast("double")
+    ways = [_agreement(a(c), b(c)) for c in ("dir", "type")]
+    code = F.when((a("zip") != "") & (b("zip") != ""), F.when((a("zip") == b("zip")) | addresses.zip_near(a("zip"), b("zip")), 1.0).otherwise(0.0))
+    return {
+        "word": F.when(known, F.when(alike, _similarity(a("n_word"), b("n_word"))).otherwise(0.0)),
+        "own": F.when(alike & known & (a("n_own") != "") & (b("n_own") != ""), F.when(person, given).when(a("n_own") == b("n_own"), 1.0).otherwise(0.0)),
+        "spec": F.when(alike & known, F.when(person, F.when(initial, F.least(*letters))).otherwise(_agreement(a("n_spec"), b("n_spec")))),
+        "core": _similarity(a("core"), b("core")) if placed else none, "way": F.least(*ways) if placed else none, "unit": _agreement(a("unit"), b("unit")) if placed else none,
+        "dept": _agreement(a("dept"), b("dept")), "zip": code,
+    }
+
+
+def _coded(df: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """df with v, the grid cell of the features as one number (_vectors reads it back), and s, by which a group's best pair is chosen."""
+    df = df.withColumns({f"f_{k}": c for k, c in features.items()})
+    v = F.lit(0)
+    for k, top in TOPS.items():
+        v = v * (top + 2) + F.coalesce(F.round(F.col(f"f_{k}") * top).cast("int"), F.lit(top + 1))
+    s = sum((F.coalesce(F.col(f"f_{k}"), F.lit(0.5)) for k in TOPS), F.lit(0.0))
+    return df.withColumns({"v": v, "s": s}).drop(*[f"f_{k}" for k in TOPS])
+
+
+def _vectors(codes: np.ndarray) -> np.ndarray:
+    """One row for each code; NaN where a feature is missing."""
+    out = np.zeros((len(codes), len(TOPS)))
+    for i, top in reversed(list(enumerate(TOPS.values()))):
+        codes, r = np.divmod(codes, top + 2)
+        out[:, i] = np.where(r > top, np.nan, r / top)
+    return out
 
 
 def _fit(hist: np.ndarray, counts: np.ndarray, resp: np.ndarray) -> np.ndarray:
-    """Log odds of a match for each cell, from the responsibilities of the last step."""
+    """Log likelihood ratio, matched to unmatched, of each cell; resp: the share of its pairs that match."""
+    there = ~np.isnan(hist)
+    x = np.where(there, hist, 0.0)
     logs = []
     for r in (resp, 1 - resp):
-        w = r * counts
-        total = w.sum() + 1e-9
-        mean = (w[:, None] * hist).sum(0) / total
-        var = (w[:, None] * (hist - mean) ** 2).sum(0) / total + RIDGE
-        share = min(max(total / counts.sum(), 1e-4), 1 - 1e-4)
-        logs.append(np.log(share) - 0.5 * (np.log(var) + (hist - mean) ** 2 / var).sum(1))
+        w = (r * counts)[:, None] * there
+        total = w.sum(0) + 1e-9
+        mean = (w * x).sum(0) / total
+        var = (w * (x - mean) ** 2).sum(0) / total + RIDGE
+        logs.append(np.where(there, -0.5 * (np.log(var) + (x - mean) ** 2 / var), 0.0).sum(1))
     return np.clip(logs[0] - logs[1], -30, 30)
 
 
-def _code(x: str, y: str) -> Column:
-    """The grid cell of a pair's vector, as one number; _vector reads it back."""
-    px, py = F.split(F.col(f"{x}.entity"), r"\|"), F.split(F.col(f"{y}.entity"), r"\|")
-    same_kind = F.get(px, F.lit(0)) == F.get(py, F.lit(0))
-    part = lambda i: same_kind & (F.get(px, F.lit(i)) == F.get(py, F.lit(i)))
-    features = [
-        (F.when(same_kind, _similarity(F.get(px, F.lit(1)), F.get(py, F.lit(1)))).otherwise(0.0), 10), (part(2).cast("double"), 1), (part(3).cast("double"), 1),
-        (_similarity(F.col(f"{x}.core"), F.col(f"{y}.core")), 10), *[(_agreement(F.col(f"{x}.{c}"), F.col(f"{y}.{c}")), 2) for c in ("unit", "dept", "zip")],
-    ]
-    out = F.lit(0)
-    for value, top in features:
-        out = out * (top + 1) + F.round(value * top).cast("int")
-    return out
-
-
-TOPS = (10, 1, 1, 10, 2, 2, 2)
-CELLS = int(np.prod([t + 1 for t in TOPS]))
-
-
-def _vector(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(codes), len(TOPS)))
-    for i in range(len(TOPS) - 1, -1, -1):
-        codes, r = np.divmod(codes, TOPS[i] + 1)
-        out[:, i] = r / TOPS[i]
-    return out
-
-
-def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(ref_ord, block_id, posterior, same_name, agrees): candidate pairs with the confidence that they match.
-
-    same_name: both name one organisation or person; agrees: neither place nor departments conflict. Blocks without a name or
-    address are candidates only if the rest points to one organisation or person at one place; their posterior is 1, as nothing known
-    about them disagrees. Rows with null, blank or placeholder fields have no pair they can't be told from; empty tables give no rows.
-    """
-    rows = _rows(locations, blocks)
-    names = entities(rows.select("name"))
-    lone = rows.filter("src = 'b' and kind = ''")
-    spots = located(rows).join(names.select("name", "entity"), "name", "left")
-    spots = spots.withColumn("listed", F.coalesce(F.col("name").like("%;%"), F.lit(False))).drop("name")
-    spots = staged(spots.filter("src = 'b' or entity is not null"), "spots")
-    loc, blk = spots.filter("src = 'l'").alias("l"), spots.filter("src = 'b'").alias("b")
-    place = ["st", "town", "kind", "num"]
-    named = blk.filter("b.entity is not null").join(loc, place).filter(same_place("b", "l"))
-    groups = named.select(
-        F.col("b.id").alias("block_id"), F.xxhash64("l.entity").alias("g"), (F.col("b.entity") == F.col("l.entity")).alias("same_name"), _code("b", "l").alias("v"),
-        F.struct(F.col("l.id").alias("ref_ord"), _depts("b.dept", "l.dept").alias("agrees")).alias("ref"),
-    )
-    # the locations of one organisation at one place are one group: they stand or fall together, by their best vector
-    groups = groups.repartition("block_id").groupBy("block_id", "g").agg(F.max("v").alias("v"), F.max("same_name").alias("same_name"), F.collect_list("ref").alias("refs"))
-    groups = staged(groups.groupBy("block_id").agg(F.collect_list(F.struct("v", "same_name", "refs")).alias("groups")), "groups")
-    out = _with_posteriors(groups)
-    nameless = blk.filter("b.entity is null and not b.listed").join(loc, place).filter(same_place("b", "l"))
-    return out.unionByName(_nameless(nameless)).unionByName(_placeless(lone, names, spots))
-
-
-def _shares(offsets: np.ndarray, v: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """The posterior of each group: one group of a block can match, or none."""
-    e = np.exp(odds[v])
-    if not len(e):
-        return e
-    total = np.add.reduceat(e, offsets[:-1])
-    return e / (1 + np.repeat(total, np.diff(offsets)))
+def _shares(offsets: np.ndarray, v: np.ndarray, n: np.ndarray, ratio: np.ndarray, share: float) -> np.ndarray:
+    """The posterior of one group of each cell; v and n: the cells of a block's groups, and how many it has in each."""
+    if not len(v):
+        return np.zeros(0)
+    e = np.exp(ratio[v]) * share
+    groups = np.add.reduceat(n, offsets[:-1])
+    total = np.add.reduceat(e * n, offsets[:-1])
+    return e / np.repeat(groups * (1 - share) + total, np.diff(offsets))
 
 
-def _with_posteriors(groups: DataFrame) -> DataFrame:
-    """(ref_ord, block_id, posterior, same_name, agrees) of the grouped candidates, from the mixture."""
-    vs = groups.select(F.col("groups.v").alias("v"))
-    counts = np.zeros(CELLS)
-    for r in vs.select(F.explode("v").alias("v")).groupBy("v").count().collect():  # at most CELLS rows
-        counts[r["v"]] = r["count"]
+def _mixture(groups: DataFrame) -> tuple[np.ndarray, float]:
+    """The log likelihood ratio of each cell and the share of blocks that have a match, fitted on groups (block_id, g, v)."""
+    cells = staged(groups.groupBy("block_id", "v").agg(F.count("*").alias("n")), "cells")
+    counts, ratio, share = np.zeros(CELLS), np.full(CELLS, -30.0), 0.5
+    for r in cells.groupBy("v").agg(F.sum("n").alias("n")).collect():  # at most CELLS rows
+        counts[r["v"]] = r["n"]
     used = np.flatnonzero(counts)
-    odds = np.full(CELLS, -30.0)
-    if len(used):
-        hist = _vector(used)
-        resp = np.clip(hist[:, :4].mean(1), 0.02, 0.98) ** 3  # where EM starts: the mean similarity of name and street
-        odds[used] = _fit(hist, counts[used], resp)
-        # blocks whose groups have the same vectors share their posteriors
-        vs = staged(vs.select(F.sort_array("v").alias("v")).groupBy("v").agg(F.count("*").alias("n")), "patterns")
-    for step in range(STEPS if len(used) else 0):
-        now = odds.copy()
-
-        def expectation(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+    if not len(used):
+        return ratio, share
+    hist = _vectors(used)
+    ratio[used] = _fit(hist, counts[used], np.clip(np.nan_to_num(hist[:, :4], nan=0.5).mean(1), 0.02, 0.98) ** 3)  # where EM starts: the mean similarity of name and street
+    # blocks with groups in the same cells share their posteriors; a block's list has at most CELLS entries
+    patterns = cells.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p")).groupBy("p").agg(F.count("*").alias("blocks"))
+    patterns = staged(patterns.select("p.v", "p.n", "blocks"), "patterns")
+    blocks = patterns.select(F.sum("blocks").alias("n")).first()["n"]
+    for step in range(STEPS):
+        now, prior = ratio.copy(), share
+
+        def expectation(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, prior: float = prior) -> Iterator[pa.RecordBatch]:
             won = np.zeros(CELLS)
             for b in batches:
-                col = b.column(0)
-                v = col.flatten().to_numpy(zero_copy_only=False)
+                v, n = (c.flatten().to_numpy(zero_copy_only=False) for c in b.columns[:2])
+                o = b.column(0).offsets.to_numpy()
                 if len(v):
-                    o = col.offsets.to_numpy()
-                    won += np.bincount(v, _shares(o - o[0], v, now) * np.repeat(b.column(1).to_numpy(), np.diff(o)), CELLS)
+                    won += np.bincount(v, _shares(o - o[0], v, n, now, prior) * n * np.repeat(b.column(2).to_numpy(), np.diff(o)), CELLS)
             at = np.flatnonzero(won)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(won[at], pa.float64())], names=["v", "p"])
 
         got = np.zeros(CELLS)
-        for r in vs.mapInArrow(expectation, "v int, p double").groupBy("v").agg(F.sum("p").alias("p")).collect():
+        for r in patterns.mapInArrow(expectation, "v int, p double").groupBy("v").agg(F.sum("p").alias("p")).collect():  # at most CELLS rows
             got[r["v"]] = r["p"]
-        odds[used] = _fit(hist, counts[used], np.clip(got[used] / counts[used], 0, 1))
-        if np.abs(odds[used] - now[used]).max() < SETTLED:
+        share = float(np.clip(got.sum() / blocks, 1e-4, 1 - 1e-4))
+        ratio[used] = _fit(hist, counts[used], np.clip(got[used] / counts[used], 0, 1))
+        if np.abs(ratio[used] - now[used]).max() < SETTLED:
             log.info("mixture settled after %d steps", step + 1)
-            break
-    else:
-        if len(used):
-            log.warning("mixture not settled after %d steps; the posteriors are those of an unfinished fit", STEPS)
-    final = odds.copy()
-
-    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column(1)
-            o = v.offsets.to_numpy()
-            p = _shares(o - o[0], v.flatten().to_numpy(zero_copy_only=False), final)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(p, pa.float64()))], names=["block_id", "p"])
+            return ratio, share
+    raise RuntimeError(f"the mixture has not settled after {STEPS} steps")
 
-    p = groups.select("block_id", F.col("groups.v").alias("v")).mapInArrow(posteriors, "block_id bigint, p array<double>")
-    each = groups.join(p, "block_id").select("block_id", F.explode(F.arrays_zip("groups", "p")).alias("x"))
-    each = each.select("block_id", F.col("x.p").alias("posterior"), F.col("x.groups.same_name").alias("same_name"), F.explode("x.groups.refs").alias("r"))
-    return each.select("r.ref_ord", "block_id", "posterior", "same_name", "r.agrees")
 
-
-def _one_place(p: str) -> list[Column]:
-    """Aggregates that are 1 or less where all rows (alias p) are at one place."""
-    kinds = [F.size(F.array_remove(F.collect_set(f"{p}.{c}"), "")).alias(f"n_{c}") for c in ("dir", "type", "unit")]
-    return [F.countDistinct(f"{p}.st", f"{p}.town", f"{p}.kind", f"{p}.num", f"{p}.core").alias("n_core"), *kinds]
+def _with_posteriors(groups: DataFrame) -> DataFrame:
+    """groups (block_id, g, v) with posterior."""
+    ratio, share = _mixture(groups)
+    spark = groups.sparkSession
+    odds = spark.createDataFrame([(int(v), float(np.exp(ratio[v]) * share)) for v in np.flatnonzero(ratio > -30)] or [(0, 0.0)], "v int, e double")  # at most CELLS rows
+    each = groups.join(F.broadcast(odds), "v", "left").withColumn("e", F.coalesce("e", F.lit(float(np.exp(-30) * share))))
+    total = each.groupBy("block_id").agg((F.sum("e") + F.count("*") * F.lit(1 - share)).alias("total"))
+    return each.join(total, "block_id").select("block_id", "g", (F.col("e") / F.col("total")).alias("posterior"))
 
 
-_SINGLE = "n_entity = 1 and n_core = 1 and n_dir <= 1 and n_type <= 1 and n_unit <= 1"
+def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(ref_ord, block_id, posterior, agrees): candidate pairs with the confidence that they match.
 
+    agrees: neither street nor unit nor department of the two rows conflict. Blocks that lack a name compete for the organisations at
+    their place, so only a single one can get a posterior over a half; those that lack an address are candidates where all that is
+    known of them fits one organisation at one place. Location rows with ';' in the name, a blank or placeholder name or no address,
+    and blocks with several names or with neither name nor address are in no pair. Empty tables give no rows.
+    """
+    rows = _rows(locations, blocks)
+    spots = staged(addresses.settled(rows), "spots")
+    loc = _filled(spots.filter("src = 'l'"), PLACE)
+    loose = F.when(F.length("g_own") < 2, F.concat_ws("|", "n_cred", "n_mid")).otherwise("")
+    loc = loc.withColumn("g", F.xxhash64("n_kind", "n_word", "g_own", "g_spec", "core", F.when(F.col("n_kind") == "person", loose).otherwise("")))
+    near = _coded(spots.filter("src = 'b'").alias("b").join(loc.alias("l"), PLACE), _features("b", "l"))
+    agrees = addresses.same_place("b", "l") & _depts(F.col("b.dept"), F.col("l.dept"))
+    pairs = staged(near.select(F.col("b.id").alias("block_id"), "g", "v", "s", F.col("l.id").alias("ref_ord"), agrees.alias("agrees")), "pairs")
+    groups = pairs.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))
+    alone = _lone(rows.filter("src = 'b' and kind = ''"), spots.filter("src = 'l'"))
+    groups = staged(groups.unionByName(alone.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))), "groups")
+    out = pairs.select("block_id", "g", "ref_ord", "agrees").unionByName(alone.select("block_id", "g", "ref_ord", "agrees"))
+    return out.join(_with_posteriors(groups), ["block_id", "g"]).select("ref_ord", "block_id", "posterior", "agrees")
 
-def _depts(x: str, y: str) -> Column:
-    return (F.col(x) == "") | (F.col(y) == "") | (F.col(x) == F.col(y))
 
+def _depts(x: Column, y: Column) -> Column:
+    return (x == "") | (y == "") | (x == y)
 
-def _nameless(cand: DataFrame) -> DataFrame:
-    """Pairs of blocks without a name: all locations at their place must be of one organisation or person at one place."""
-    at = cand.select(
-        F.col("b.id").alias("block_id"), F.col("l.id").alias("ref_ord"), F.col("l.entity").alias("entity"), F.col("b.dept").alias("bd"), F.col("l.dept").alias("ld"), "st", "town", "kind", "num",
-        F.col("l.core").alias("core"), F.col("l.dir").alias("dir"), F.col("l.type").alias("type"), F.col("l.unit").alias("unit"),
-    ).alias("p")
-    single = at.groupBy("block_id").agg(F.countDistinct("entity").alias("n_entity"), *_one_place("p")).filter(_SINGLE).select("block_id")
-    return at.join(single, "block_id").select("ref_ord", "block_id", F.lit(1.0).alias("posterior"), F.lit(True).alias("same_name"), _depts("bd", "ld").alias("agrees"))
 
+def _lone(blocks: DataFrame, loc: DataFrame) -> DataFrame:
+    """Pairs (block_id, g, v, s, ref_ord, agrees) of blocks without a street or box whose name and town fit one organisation at one place.
 
-def _placeless(lone: DataFrame, names: DataFrame, spots: DataFrame) -> DataFrame:
-    """Pairs of blocks without a street or box: their name, with what town is left, must be at one place only."""
-    b = lone.join(names.select("name", "entity"), "name")
-    b = b.select(F.col("id").alias("block_id"), "entity", F.col("dept").alias("bd"), F.col("town").alias("bt"), F.col("st").alias("bs"), F.col("zip").alias("bz"))
-    at = b.join(spots.filter("src = 'l'"), "entity")
-    at = at.filter(((F.col("bs") == "") | (F.col("st") == "") | (F.col("bs") == F.col("st"))) & ((F.col("bt") == "") | (F.col("bt") == F.col("town")) | close(F.col("bt"), F.col("town")))).alias("p")
-    single = at.groupBy("block_id").agg(F.lit(1).alias("n_entity"), *_one_place("p")).filter(_SINGLE).select("block_id")
-    return at.join(single, "block_id").select(F.col("id").alias("ref_ord"), "block_id", F.lit(1.0).alias("posterior"), F.lit(True).alias("same_name"), _depts("bd", "dept").alias("agrees"))
+    Organisations are counted once for each set of fields that blocks leave out (24 sets at most), under a key of the fields they
+    have; a key with just one place is joined, so a name at many places, however many blocks have it, makes no pairs.
+    """
+    own = F.when(F.col("n_own") == "", 0).when((F.col("n_kind") == "person") & (F.length("n_own") == 1), 1).otherwise(2)
+    mode = F.struct(own.alias("own"), (F.col("n_spec") != "").alias("spec"), (F.col("st") != "").alias("st"), (F.col("town") != "").alias("town"))
+    b = blocks.withColumn("mode", mode).withColumns({"x_own": F.col("n_own"), "x_spec": F.col("n_spec"), "x_st": F.col("st"), "x_town": F.col("town")})
+    key = ["mode", "n_kind", "n_word", "x_own", "x_spec", "x_st", "x_town"]
+    modes = [r["mode"] for r in b.select("mode").distinct().collect()]  # 24 at most
+    loc = _filled(loc.join(b.select("n_kind", "n_word").distinct(), ["n_kind", "n_word"], "left_semi").select(loc.columns), [])
+    masks = F.array(*[F.struct(F.lit(m["own"]).alias("own"), *[F.lit(m[c]).alias(c) for c in ("spec", "st", "town")]) for m in modes]) if modes else F.array().cast("array<struct<own:int,spec:boolean,st:boolean,town:boolean>>")
+    each = loc.withColumn("mode", F.explode(masks)).withColumns({
+        "x_own": F.when(F.col("mode.own") == 0, "").when(F.col("mode.own") == 1, F.substring("g_own", 1, 1)).otherwise(F.col("g_own")),
+        **{f"x_{k}": F.when(F.col(f"mode.{k}"), F.col(c)).otherwise("") for k, c in (("spec", "g_spec"), ("st", "st"), ("town", "town"))},
+    })
+    place = F.xxhash64("g_own", "g_spec", *PLACE, "core")
+    parts = ("dir", "type", "unit")
+    ends = [f(F.nullif(c, F.lit(""))).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))]
+    single = each.groupBy(*key).agg(F.min(place).alias("g"), F.max(place).alias("last"), *ends)
+    single = single.filter(" and ".join(["g = last", *[f"(lo_{c} is null or lo_{c} = hi_{c})" for c in parts]])).select(*key, "g")
+    ours = b.join(single, key).select("id", "g", "dept", "zip", "town", *[x for x in ("n_kind", "n_word", "n_own", "n_spec", "n_cred", "n_mid")])
+    spot = loc.withColumn("g", place).select("id", "g", "dept", "zip", "town", "n_kind", "n_word", "n_own", "n_spec", "n_cred", "n_mid")
+    near = _coded(ours.alias("b").join(spot.alias("l"), F.col("b.g") == F.col("l.g")), _features("b", "l", placed=False))
+    return near.select(F.col("b.id").alias("block_id"), F.col("b.g").alias("g"), "v", "s", F.col("l.id").alias("ref_ord"), _depts(F.col("b.dept"), F.col("l.dept")).alias("agrees"))
 
 
 def found_pairs(locations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(ref_ord, block_id): confident matches whose names and places agree and whose departments don't conflict."""
+    """(ref_ord, block_id): the pairs whose posterior is over a half and whose rows don't conflict."""
     m = matched(locations, blocks)
-    return m.filter(f"posterior >= {CONFIDENT} and same_name and agrees").select("ref_ord", "block_id").distinct()
+    return m.filter(f"posterior > {CONFIDENT} and agrees").select("ref_ord", "block_id").distinct()
