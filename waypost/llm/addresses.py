@@ -49,34 +49,41 @@ def zip_near(a: Column, b: Column) -> Column:
     return (d >= 0) & ((d <= 1) | (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))))
 
 
-def corrected(rows: DataFrame) -> DataFrame:
-    """parsed() rows with towns and street names corrected by the corpus; every other column is kept. rows is read several times."""
-    towns = corrections(rows.filter("town <> ''").groupBy("st", F.col("town").alias("word")).agg(F.count("*").alias("n")), ["st"])
-    rows_ = rows.join(towns.withColumnRenamed("word", "town"), ["st", "town"], "left").withColumn("town", F.coalesce("correct", "town")).drop("correct")
-    cores = corrections(rows.filter("kind = 'street'").groupBy(F.col("core").alias("word")).agg(F.count("*").alias("n")), [])
-    return rows_.join(cores.withColumnRenamed("word", "core"), "core", "left").withColumn("core", F.coalesce("correct", "core")).drop("correct")
+def corrected(rows: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """parsed() rows with towns and street names corrected by the corpus, and towns filled in by postal codes; other columns are kept.
+
+    rows should be a staged table; onto: these rows with further columns, to be corrected in their stead. Everything is worked out on the distinct places; the rows are shuffled once.
+    """
+    key = ["kind", "st", "town", "zip", "core"]
+    places = staged(rows.groupBy(*key).agg(F.count("*").alias("n")), "towns")
+    towns = corrections(places.filter("town <> ''").groupBy("st", F.col("town").alias("word")).agg(F.sum("n").alias("n")), ["st"])
+    cores = corrections(places.filter("kind = 'street'").groupBy(F.col("core").alias("word")).agg(F.sum("n").alias("n")), [])
+    to = places.join(towns.select("st", F.col("word").alias("town"), F.col("correct").alias("to_town")), ["st", "town"], "left")
+    to = to.join(cores.select(F.col("word").alias("core"), F.col("correct").alias("to_core")), "core", "left")
+    to = staged(to.withColumns({"to_town": F.coalesce("to_town", "town"), "to_core": F.coalesce("to_core", "core")}), "corrected")
+    by_zip = to.filter("kind <> '' and to_town <> '' and zip <> ''").groupBy("st", "zip", "to_town").agg(F.sum("n").alias("n"))
+    by_zip = by_zip.groupBy("st", "zip").agg(F.max_by("to_town", F.struct("n", "to_town")).alias("usual"), (F.max("n") / F.sum("n")).alias("share"))
+    to = to.join(by_zip.filter("share >= 0.5").drop("share"), ["st", "zip"], "left")
+    usual = F.when((F.col("kind") != "") & ((F.col("to_town") == "") | close(F.col("to_town"), F.col("usual"))), F.col("usual"))
+    to = to.withColumn("to_town", F.coalesce(usual, "to_town")).filter("to_town <> town or to_core <> core").select(*key, "to_town", "to_core")
+    rows_ = (rows if onto is None else onto).join(to, key, "left").withColumns({"town": F.coalesce("to_town", "town"), "core": F.coalesce("to_core", "core")})
+    return rows_.drop("to_town", "to_core")
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """corrected() rows that have a street or box, with missing towns filled in; every other column is kept.
+    """corrected() rows, a staged table, that have a street or box, with the last missing towns filled in; other columns are kept.
 
-    A town that can't be told becomes '@' and the postal code, so that such rows are compared with each other. rows is read several
-    times; it should be a staged table.
+    A town that can't be told becomes '@' and the postal code, so that such rows are compared with each other.
     """
-    rows = rows.filter("kind <> ''")
-    by_zip = rows.filter("town <> '' and zip <> ''").groupBy("st", "zip", "town").agg(F.count("*").alias("n"))
-    by_zip = by_zip.groupBy("st", "zip").agg(F.max_by("town", F.struct("n", "town")).alias("zip_town"), (F.max("n") / F.sum("n")).alias("share"))
-    by_zip = by_zip.filter("share >= 0.5").drop("share")
-    usual = F.when((F.col("town") == "") | close(F.col("town"), F.col("zip_town")), F.col("zip_town"))
-    rows = rows.join(by_zip, ["st", "zip"], "left").withColumn("town", F.coalesce(usual, "town")).drop("zip_town")
-    known = rows.filter("town <> ''")
-    only = known.groupBy("st", "kind", "num", "core").agg(F.min("town").alias("t0"), F.max("town").alias("t1")).filter("t0 = t1").drop("t1")
-    lost = rows.filter("town = ''").join(only, ["st", "kind", "num", "core"], "left").withColumn("town", F.coalesce("t0", F.concat(F.lit("@"), "zip"))).drop("t0")
-    return known.unionByName(lost.select(known.columns))
+    known, lost = rows.filter("kind <> '' and town <> ''"), rows.filter("kind <> '' and town = ''")
+    key = ["st", "kind", "num", "core"]
+    only = known.groupBy(*key).agg(F.min("town").alias("t0"), F.max("town").alias("t1")).filter("t0 = t1").drop("t1")
+    lost = lost.join(only, key, "left").withColumn("town", F.coalesce("t0", F.concat(F.lit("@"), "zip"))).drop("t0")
+    return known.unionByName(staged(lost.select(known.columns), "lost"))
 
 
 def located(rows: DataFrame) -> DataFrame:
-    """parsed() rows that have a street or box, corrected() and settled(); rows should be a staged table."""
+    """parsed() rows, a staged table, that have a street or box, corrected() and settled()."""
     return settled(staged(corrected(rows.filter("kind <> ''")), "located"))
 
 
@@ -95,7 +102,6 @@ def same_address_pairs(df: DataFrame, key: str = "ref_ord") -> DataFrame:
     An empty table gives no rows; columns beyond key and the address fields are ignored.
     """
     rows = located(staged(parsed(df, [key]), "parsed"))
-    rows = staged(rows, "places")
     pairs = rows.alias("a").join(rows.alias("b"), ["st", "town", "kind", "num"])
     pairs = pairs.filter((F.col(f"a.{key}") < F.col(f"b.{key}")) & same_place("a", "b"))
     return pairs.select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"))

@@ -79,8 +79,7 @@ def _rows(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     # a location without an own name or without an address is in no pair, nor is a block with neither or with several names
     rows = staged(rows.filter("(n_kind <> '' or (src = 'b' and not several)) and (kind <> '' or (src = 'b' and n_kind <> ''))"), "rows")
     named = names.normalised(rows.filter("n_kind <> ''"), "n_").drop("n_raw", "n_whole")
-    rows = staged(named.unionByName(rows.filter("n_kind = ''").select(named.columns)), "named")
-    return staged(addresses.corrected(rows), "corrected")
+    return staged(addresses.corrected(rows, named.unionByName(rows.filter("n_kind = ''").select(named.columns))), "corrected")
 
 
 def _filled(loc: DataFrame, at: list[str]) -> DataFrame:
@@ -230,7 +229,7 @@ def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     and blocks with several names or with neither name nor address are in no pair. Empty tables give no rows.
     """
     rows = _rows(locations, blocks)
-    spots = staged(addresses.settled(rows), "spots")
+    spots = addresses.settled(rows)
     loc = _filled(spots.filter("src = 'l'"), PLACE)
     loose = F.when(F.length("g_own") < 2, F.concat_ws("|", "n_cred", "n_mid")).otherwise("")
     loc = loc.withColumn("g", F.xxhash64("n_kind", "n_word", "g_own", "g_spec", "core", F.when(F.col("n_kind") == "person", loose).otherwise("")))
@@ -238,7 +237,7 @@ def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     agrees = addresses.same_place("b", "l") & _depts(F.col("b.dept"), F.col("l.dept"))
     pairs = staged(near.select(F.col("b.id").alias("block_id"), "g", "v", "s", F.col("l.id").alias("ref_ord"), agrees.alias("agrees")), "pairs")
     groups = pairs.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))
-    alone = _lone(rows.filter("src = 'b' and kind = ''"), spots.filter("src = 'l'"))
+    alone = staged(_lone(rows.filter("src = 'b' and kind = ''"), spots.filter("src = 'l'")), "alone")
     groups = staged(groups.unionByName(alone.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))), "groups")
     out = pairs.select("block_id", "g", "ref_ord", "agrees").unionByName(alone.select("block_id", "g", "ref_ord", "agrees"))
     return out.join(_with_posteriors(groups), ["block_id", "g"]).select("ref_ord", "block_id", "posterior", "agrees")

@@ -92,12 +92,13 @@ def normalised(rows: DataFrame, p: str = "") -> DataFrame:
     clips = short_forms(staged(orgs, "orgs")).filter("own <> to_own or spec <> to_spec").withColumn("kind", F.lit("org"))
     clips = staged(clips, "clips")
     key = ["kind", "raw", "own", "spec", "pieces"]
-    apart = distinct.withColumnRenamed("word", "raw").join(clips, key, "left").groupBy("kind", F.coalesce("word", "raw").alias("word")).agg(F.count("*").alias("n"))
-    words = staged(corrections(apart, ["kind"]), "corrected")
-    clips = clips.join(words, ["kind", "word"], "left").select(*[F.col(x).alias(c(x)) for x in key], F.coalesce("correct", "word").alias("_word"), F.col("to_own").alias("_own"), F.col("to_spec").alias("_spec"))
-    rows = rows.withColumnRenamed(c("word"), c("raw")).join(words.select(F.col("kind").alias(c("kind")), F.col("word").alias(c("raw")), "correct"), [c("kind"), c("raw")], "left")
-    rows = rows.join(staged(clips, "clips"), [c(x) for x in key], "left")
-    rows = rows.withColumns({c("word"): F.coalesce("_word", "correct", c("raw")), c("own"): F.coalesce("_own", c("own")), c("spec"): F.coalesce("_spec", c("spec"))}).drop("_word", "_own", "_spec", "correct", c("pieces"))
+    typed = distinct.withColumnRenamed("word", "raw").join(clips, key, "left").select(*key, F.coalesce("word", "raw").alias("word"), F.coalesce("to_own", "own").alias("to_own"), F.coalesce("to_spec", "spec").alias("to_spec"))
+    typed = staged(typed, "typed")
+    words = corrections(typed.groupBy("kind", "word").agg(F.count("*").alias("n")), ["kind"])
+    to = typed.distinct().join(words, ["kind", "word"], "left").withColumn("to_word", F.coalesce("correct", "word")).filter("to_word <> raw or to_own <> own or to_spec <> spec")
+    to = to.select(*[F.col(x).alias(c(x)) for x in key], *[F.col(f"to_{x}").alias(f"_{x}") for x in ("word", "own", "spec")])
+    rows = rows.withColumnRenamed(c("word"), c("raw")).join(to, [c(x) for x in key], "left")  # the only shuffle of all rows
+    rows = rows.withColumns({c("word"): F.coalesce("_word", c("raw")), c("own"): F.coalesce("_own", c("own")), c("spec"): F.coalesce("_spec", c("spec"))}).drop("_word", "_own", "_spec", c("pieces"))
     own, spec = F.col(c("own")), F.col(c("spec"))
     return rows.withColumn(c("whole"), (own != "") & F.when(F.col(c("kind")) == "org", spec != "").otherwise(F.length(own) > 1))
 

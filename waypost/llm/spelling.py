@@ -100,9 +100,14 @@ def corrections(words: DataFrame, scope: list[str], word: str = "word", n: str =
     def keyed(df: DataFrame, p: str, keys: Callable[[Column], Column]) -> DataFrame:
         return df.select(*scope, F.col(word).alias(f"{p}w"), F.col(n).alias(f"{p}n"), F.col("l").alias(f"{p}l"), F.explode(keys(F.col(word))).alias("k")).withColumn("k", F.xxhash64(*scope, "k"))
 
-    pairs = keyed(words, "a", seeking_keys).join(keyed(words.filter(F.col(n) >= RATIO), "b", sought_keys), [*scope, "k"])
-    pairs = pairs.filter((F.col("bn") >= RATIO * F.col("an")) & (F.abs(F.length("aw") - F.length("bw")) <= 3))
-    pairs = pairs.select(*scope, "aw", "bw", "bn", _distance(F.levenshtein("aw", "bw", 4), F.col("al") == F.col("bl")).alias("d"))
-    pairs = staged(pairs.filter(F.col("d").between(0, allowed(F.col("aw"), F.col("bw")))).distinct(), "near")
-    sound = pairs.join(pairs.select(*scope, F.col("aw").alias("bw")).distinct(), [*scope, "bw"], "left_anti")
-    return sound.groupBy(*scope, F.col("aw").alias(word)).agg(F.max_by("bw", F.struct(-F.col("d"), F.col("bn"), F.col("bw"))).alias("correct"))
+    def near(rare: DataFrame, to: DataFrame) -> DataFrame:
+        pairs = keyed(rare, "a", seeking_keys).join(keyed(to, "b", sought_keys), [*scope, "k"])
+        pairs = pairs.filter((F.col("bn") >= RATIO * F.col("an")) & (F.abs(F.length("aw") - F.length("bw")) <= 3))
+        pairs = pairs.select(*scope, "aw", "bw", "bn", _distance(F.levenshtein("aw", "bw", 4), F.col("al") == F.col("bl")).alias("d"))
+        return pairs.filter(F.col("d").between(0, allowed(F.col("aw"), F.col("bw"))))
+
+    common = words.filter(F.col(n) >= RATIO)  # what is rarer has no misspelling
+    doubtful = near(common, common).select(*scope, F.col("aw").alias(word)).distinct()
+    anchors = staged(common.join(doubtful, [*scope, word], "left_anti").select(words.columns), "anchors")
+    found = near(words.join(anchors, [*scope, word], "left_anti").select(words.columns), anchors)
+    return found.groupBy(*scope, F.col("aw").alias(word)).agg(F.max_by("bw", F.struct(-F.col("d"), F.col("bn"), F.col("bw"))).alias("correct"))
