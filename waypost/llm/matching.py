@@ -19,7 +19,9 @@ candidates that has at most CELLS cells, and each step works on the distinct pat
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +48,36 @@ PLACE = ["st", "town", "kind", "num"]
 NAME = [f"n_{p}" for p in names.PARTS]
 
 
-def department_class(c: Column) -> Column:
-    """What a department's name means; '' where it is missing."""
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    rules = [
+_DEPARTMENTS = [
+    (re.compile(pattern), value)
+    for pattern, value in (
         (r"^(-|n/?a|none|unknown|tbd|)$", ""), (r"\bhim\b|med", "medical records"), (r"bill", "billing"), (r"radiol|film|imaging", "radiology"),
         (r"patient|\bpt\b|acc(oun)?ts", "patient accounts"), (r"human|\bh\.? ?r\b", "human resources"), (r"pharm", "pharmacy"), (r"legal", "legal"),
         (r"records?", "medical records"),
-    ]
-    out = None
-    for pattern, value in rules:
-        out = F.when(s.rlike(pattern), value) if out is None else out.when(s.rlike(pattern), value)
-    return out.otherwise(F.regexp_replace(s, r"[^a-z0-9]+|dep(artmen)?t", ""))
+    )
+]
+
+
+@lru_cache(20_000)
+def department_class(name: str | None) -> str:
+    """What a department's name means; '' where it is missing."""
+    s = (name or "").lower().strip()
+    return next((value for pattern, value in _DEPARTMENTS if pattern.search(s)), None) or re.sub(r"[^a-z0-9]+|dep(artmen)?t", "", s if not _DEPARTMENTS[0][0].search(s) else "")
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        *place, name = (c.to_pylist() for c in b.columns[3:])
+        dept, *place, name = (c.to_pylist() for c in b.columns[2:])
         parts = [*(list(zip(*map(parse, *place))) or [()] * len(addresses.PARTS)), *(list(zip(*map(parse_name, name))) or [()] * len(NAME))]
         several = pa.array([x is not None and ";" in x for x in name], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], several, *[pa.array(p, pa.string()) for p in parts]], names=[*b.schema.names[:3], "several", *addresses.PARTS, *NAME])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(list(map(department_class, dept)), pa.string()), several, *[pa.array(p, pa.string()) for p in parts]], names=[*b.schema.names[:3], "several", *addresses.PARTS, *NAME])
 
 
 def _rows(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Both tables parsed (src, id, dept, address parts, name parts), names and towns corrected over both."""
 
     def side(df: DataFrame, src: str, key: str) -> DataFrame:
-        return df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), department_class(F.col("department")).alias("dept"), *[F.col(f).cast("string") for f in (*addresses.FIELDS, "name")])
+        return df.select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), F.col("department").cast("string").alias("dept"), *[F.col(f).cast("string") for f in (*addresses.FIELDS, "name")])
 
     schema = "src string, id bigint, dept string, several boolean, " + ", ".join(f"{c} string" for c in (*addresses.PARTS, *NAME))
     rows = side(locations, "l", "ref_ord").unionByName(side(blocks, "b", "block_id")).mapInArrow(_parse_batches, schema)
@@ -82,20 +87,24 @@ def _rows(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     return staged(addresses.corrected(rows, named.unionByName(rows.filter("n_kind = ''").select(named.columns))), "corrected")
 
 
-def _filled(loc: DataFrame, at: list[str]) -> DataFrame:
-    """loc with g_own and g_spec: site (given name) and specialty, missing ones filled in where all names with that word and key agree."""
-    key = [*at, "n_kind", "n_word"]
+def _filled(loc: DataFrame, key: Column) -> DataFrame:
+    """loc with g_own and g_spec: hashes of site (given name) and specialty, missing ones filled in where all names of the key agree.
+
+    key: a hash of the name's word and of what else shall be equal. Hashes, as sums of strings can't be aggregated without sorting.
+    """
     person = F.col("n_kind") == "person"
     short = F.when(person, F.length("n_own") < 2).otherwise(F.col("n_own") == "")
     lacking = short | (~person & (F.col("n_spec") == ""))
-    full = {"own": F.when(~short, F.col("n_own")), "spec": F.nullif("n_spec", F.lit(""))}
-    one = loc.groupBy(*key).agg(*[f(c).alias(f"{n}_{p}") for p, c in full.items() for n, f in (("lo", F.min), ("hi", F.max))])
-    one = one.select(*key, *[F.when(F.col(f"lo_{p}") == F.col(f"hi_{p}"), F.col(f"lo_{p}")).alias(f"one_{p}") for p in full])
-    part = loc.filter(lacking).join(one, key, "left")
-    fits = ~person | F.coalesce(F.substring("one_own", 1, 1) == F.col("n_own"), F.lit(False)) | (F.col("n_own") == "")
-    part = part.withColumns({"g_own": F.when(short & fits, F.coalesce("one_own", "n_own")).otherwise(F.col("n_own")), "g_spec": F.when(F.col("n_spec") == "", F.coalesce("one_spec", "n_spec")).otherwise(F.col("n_spec"))})
-    whole = loc.filter(~lacking).withColumns({"g_own": F.col("n_own"), "g_spec": F.col("n_spec")})
-    return whole.unionByName(part.select(whole.columns))
+    initial = F.xxhash64(F.substring("n_own", 1, 1))
+    loc = loc.withColumns({"g_own": F.xxhash64("n_own"), "g_spec": F.xxhash64("n_spec"), "g_initial": initial, "_key": key})
+    full = {"own": F.when(~short, F.col("g_own")), "initial": F.when(~short, initial), "spec": F.when(F.col("n_spec") != "", F.col("g_spec"))}
+    one = loc.groupBy("_key").agg(*[f(c).alias(f"{n}_{p}") for p, c in full.items() for n, f in (("lo", F.min), ("hi", F.max))])
+    one = one.select("_key", *[F.when(F.col(f"lo_{p}") == F.col(f"hi_{p}"), F.col(f"lo_{p}")).alias(f"one_{p}") for p in full])
+    part = loc.filter(lacking).join(one.hint("shuffle_hash"), "_key", "left")
+    fits = ~person | (F.col("n_own") == "") | F.coalesce(F.col("one_initial") == F.col("g_initial"), F.lit(False))
+    part = part.withColumns({"g_own": F.when(short & fits, F.coalesce("one_own", "g_own")).otherwise(F.col("g_own")), "g_spec": F.when(F.col("n_spec") == "", F.coalesce("one_spec", "g_spec")).otherwise(F.col("g_spec"))})
+    part = part.withColumn("g_initial", F.when(short & fits, F.coalesce("one_initial", "g_initial")).otherwise(F.col("g_initial")))
+    return loc.filter(~lacking).unionByName(part.select(loc.columns)).drop("_key")
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -229,15 +238,21 @@ def matched(locations: DataFrame, blocks: DataFrame) -> DataFrame:
     and blocks with several names or with neither name nor address are in no pair. Empty tables give no rows.
     """
     rows = _rows(locations, blocks)
-    spots = addresses.settled(rows)
-    loc = _filled(spots.filter("src = 'l'"), PLACE)
-    loose = F.when(F.length("g_own") < 2, F.concat_ws("|", "n_cred", "n_mid")).otherwise("")
-    loc = loc.withColumn("g", F.xxhash64("n_kind", "n_word", "g_own", "g_spec", "core", F.when(F.col("n_kind") == "person", loose).otherwise("")))
-    near = _coded(spots.filter("src = 'b'").alias("b").join(loc.alias("l"), PLACE), _features("b", "l"))
+    lone = staged(rows.filter("src = 'b' and kind = ''"), "lone")
+    spots = addresses.settled(rows).withColumn("at", F.xxhash64(*PLACE))
+    loc = _filled(spots.filter("src = 'l'"), F.xxhash64("at", "n_kind", "n_word"))
+    # initials alone aren't joined over credentials
+    loose = F.when((F.col("n_kind") == "person") & (F.length("n_own") < 2) & (F.col("g_own") == F.xxhash64("n_own")), F.concat_ws("|", "n_cred", "n_mid")).otherwise("")
+    loc = loc.withColumn("g", F.xxhash64("n_kind", "n_word", "g_own", "g_spec", "core", loose)).drop("src", "several", "g_own", "g_spec", "g_initial")
+    same = F.lit(True)
+    for c in PLACE:
+        same = same & (F.col(f"b.{c}") == F.col(f"l.{c}"))
+    near = spots.filter("src = 'b'").drop("src", "several").alias("b").join(loc.alias("l"), "at").filter(same)
+    near = _coded(near, _features("b", "l"))
     agrees = addresses.same_place("b", "l") & _depts(F.col("b.dept"), F.col("l.dept"))
     pairs = staged(near.select(F.col("b.id").alias("block_id"), "g", "v", "s", F.col("l.id").alias("ref_ord"), agrees.alias("agrees")), "pairs")
     groups = pairs.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))
-    alone = staged(_lone(rows.filter("src = 'b' and kind = ''"), spots.filter("src = 'l'")), "alone")
+    alone = staged(_lone(lone, spots.filter("src = 'l'")), "alone")
     groups = staged(groups.unionByName(alone.groupBy("block_id", "g").agg(F.max_by("v", F.struct("s", "v")).alias("v"))), "groups")
     out = pairs.select("block_id", "g", "ref_ord", "agrees").unionByName(alone.select("block_id", "g", "ref_ord", "agrees"))
     return out.join(_with_posteriors(groups), ["block_id", "g"]).select("ref_ord", "block_id", "posterior", "agrees")
@@ -255,23 +270,26 @@ def _lone(blocks: DataFrame, loc: DataFrame) -> DataFrame:
     """
     own = F.when(F.col("n_own") == "", 0).when((F.col("n_kind") == "person") & (F.length("n_own") == 1), 1).otherwise(2)
     mode = F.struct(own.alias("own"), (F.col("n_spec") != "").alias("spec"), (F.col("st") != "").alias("st"), (F.col("town") != "").alias("town"))
-    b = blocks.withColumn("mode", mode).withColumns({"x_own": F.col("n_own"), "x_spec": F.col("n_spec"), "x_st": F.col("st"), "x_town": F.col("town")})
-    key = ["mode", "n_kind", "n_word", "x_own", "x_spec", "x_st", "x_town"]
+    key = F.xxhash64("mode", "w", "x_own", "x_spec", "x_st", "x_town").alias("k")
+    word = F.xxhash64("n_kind", "n_word").alias("w")
+    name = ["n_kind", "n_word", "n_own", "n_spec", "n_cred", "n_mid"]
+    b = blocks.select("id", "dept", "zip", *name, word, mode.alias("mode"), F.xxhash64("n_own").alias("x_own"), F.xxhash64("n_spec").alias("x_spec"), F.xxhash64("st").alias("x_st"), F.xxhash64("town").alias("x_town"))
+    b = staged(b.select("*", key), "lone keys")
     modes = [r["mode"] for r in b.select("mode").distinct().collect()]  # 24 at most
-    loc = _filled(loc.join(b.select("n_kind", "n_word").distinct(), ["n_kind", "n_word"], "left_semi").select(loc.columns), [])
+    words = staged(b.select("w").distinct(), "lone words")
+    loc = loc.select("id", "dept", "zip", *name, word, "at", "st", "town", "core", "dir", "type", "unit").join(words, "w", "left_semi")
+    loc = staged(_filled(loc, F.col("w")).withColumn("g", F.xxhash64("g_own", "g_spec", "at", "core")), "of lone words")
     masks = F.array(*[F.struct(F.lit(m["own"]).alias("own"), *[F.lit(m[c]).alias(c) for c in ("spec", "st", "town")]) for m in modes]) if modes else F.array().cast("array<struct<own:int,spec:boolean,st:boolean,town:boolean>>")
+    none = F.xxhash64(F.lit(""))
     each = loc.withColumn("mode", F.explode(masks)).withColumns({
-        "x_own": F.when(F.col("mode.own") == 0, "").when(F.col("mode.own") == 1, F.substring("g_own", 1, 1)).otherwise(F.col("g_own")),
-        **{f"x_{k}": F.when(F.col(f"mode.{k}"), F.col(c)).otherwise("") for k, c in (("spec", "g_spec"), ("st", "st"), ("town", "town"))},
+        "x_own": F.when(F.col("mode.own") == 0, none).when(F.col("mode.own") == 1, F.col("g_initial")).otherwise(F.col("g_own")),
+        "x_spec": F.when(F.col("mode.spec"), F.col("g_spec")).otherwise(none), **{f"x_{c}": F.when(F.col(f"mode.{c}"), F.xxhash64(c)).otherwise(none) for c in ("st", "town")},
     })
-    place = F.xxhash64("g_own", "g_spec", *PLACE, "core")
-    parts = ("dir", "type", "unit")
-    ends = [f(F.nullif(c, F.lit(""))).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))]
-    single = each.groupBy(*key).agg(F.min(place).alias("g"), F.max(place).alias("last"), *ends)
-    single = single.filter(" and ".join(["g = last", *[f"(lo_{c} is null or lo_{c} = hi_{c})" for c in parts]])).select(*key, "g")
-    ours = b.join(single, key).select("id", "g", "dept", "zip", "town", *[x for x in ("n_kind", "n_word", "n_own", "n_spec", "n_cred", "n_mid")])
-    spot = loc.withColumn("g", place).select("id", "g", "dept", "zip", "town", "n_kind", "n_word", "n_own", "n_spec", "n_cred", "n_mid")
-    near = _coded(ours.alias("b").join(spot.alias("l"), F.col("b.g") == F.col("l.g")), _features("b", "l", placed=False))
+    parts = {c: F.when(F.col(c) != "", F.xxhash64(c)) for c in ("dir", "type", "unit")}
+    single = each.groupBy(key).agg(F.min("g").alias("g"), F.max("g").alias("last"), *[f(x).alias(f"{n}_{c}") for c, x in parts.items() for n, f in (("lo", F.min), ("hi", F.max))])
+    single = single.filter(" and ".join(["g = last", *[f"(lo_{c} is null or lo_{c} = hi_{c})" for c in parts]])).select("k", "g")
+    ours = staged(b.join(single, "k").select("id", "g", "dept", "zip", *name), "lone singles")
+    near = _coded(ours.alias("b").join(loc.select("id", "g", "dept", "zip", *name).alias("l"), F.col("b.g") == F.col("l.g")), _features("b", "l", placed=False))
     return near.select(F.col("b.id").alias("block_id"), F.col("b.g").alias("g"), "v", "s", F.col("l.id").alias("ref_ord"), _depts(F.col("b.dept"), F.col("l.dept")).alias("agrees"))
 
 

@@ -40,7 +40,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _abbreviates(short: Column, full: Column) -> Column:
     """Whether short has some letters of the longer word full in their order, the first one included."""
-    return (F.length(short) >= 2) & (F.length(short) < F.length(full)) & F.rlike(full, F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*")))
+    return (F.length(short) >= 2) & (F.length(short) < F.length(full)) & (F.substring(short, 1, 1) == F.substring(full, 1, 1)) & F.rlike(full, F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*")))
 
 
 def short_forms(orgs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def short_forms(orgs: DataFrame) -> DataFrame:
     must be a word that is also typed in one piece, or else EVIDENCE words must have shown the clipping. Loops until no name changes.
     """
     known = staged(orgs.filter("pieces not like '% %'").select(F.col("raw").alias("rest"), F.lit(True).alias("known")).distinct(), "known")
-    full = staged(orgs.filter("own <> '' or spec <> ''").select(F.col("raw").alias("rest"), F.col("own").alias("f_own"), F.col("spec").alias("f_spec")).distinct(), "full")
+    full = orgs.filter("own <> '' or spec <> ''").select(F.col("raw").alias("rest"), F.col("own").alias("f_own"), F.col("spec").alias("f_spec"))
     many = orgs.filter("pieces like '% %'").select("raw", "own", "spec", "pieces", F.col("raw").alias("word"), F.col("own").alias("to_own"), F.col("spec").alias("to_spec"), F.split("pieces", " ").alias("left"))
     now, evidence = staged(many.withColumn("changed", F.lit(True)), "clipped"), None
     while True:
@@ -88,16 +88,16 @@ def normalised(rows: DataFrame, p: str = "") -> DataFrame:
     """
     c = lambda x: f"{p}{x}"
     distinct = staged(rows.select(*[F.col(c(x)).alias(x) for x in PARTS]).distinct(), "parts")
-    orgs = distinct.filter("kind = 'org'").select(F.col("word").alias("raw"), "own", "spec", "pieces").distinct()
-    clips = short_forms(staged(orgs, "orgs")).filter("own <> to_own or spec <> to_spec").withColumn("kind", F.lit("org"))
+    clips = short_forms(distinct.filter("kind = 'org'").select(F.col("word").alias("raw"), "own", "spec", "pieces")).filter("own <> to_own or spec <> to_spec").withColumn("kind", F.lit("org"))
     clips = staged(clips, "clips")
     key = ["kind", "raw", "own", "spec", "pieces"]
     typed = distinct.withColumnRenamed("word", "raw").join(clips, key, "left").select(*key, F.coalesce("word", "raw").alias("word"), F.coalesce("to_own", "own").alias("to_own"), F.coalesce("to_spec", "spec").alias("to_spec"))
     typed = staged(typed, "typed")
     words = corrections(typed.groupBy("kind", "word").agg(F.count("*").alias("n")), ["kind"])
     to = typed.distinct().join(words, ["kind", "word"], "left").withColumn("to_word", F.coalesce("correct", "word")).filter("to_word <> raw or to_own <> own or to_spec <> spec")
-    to = to.select(*[F.col(x).alias(c(x)) for x in key], *[F.col(f"to_{x}").alias(f"_{x}") for x in ("word", "own", "spec")])
-    rows = rows.withColumnRenamed(c("word"), c("raw")).join(to, [c(x) for x in key], "left")  # the only shuffle of all rows
+    to = to.select(F.xxhash64(*key).alias("_key"), *[F.col(f"to_{x}").alias(f"_{x}") for x in ("word", "own", "spec")])
+    rows = rows.withColumnRenamed(c("word"), c("raw"))
+    rows = rows.withColumn("_key", F.xxhash64(*[c(x) for x in key])).join(to.hint("shuffle_hash"), "_key", "left").drop("_key")  # the only shuffle of all rows; to has distinct keys
     rows = rows.withColumns({c("word"): F.coalesce("_word", c("raw")), c("own"): F.coalesce("_own", c("own")), c("spec"): F.coalesce("_spec", c("spec"))}).drop("_word", "_own", "_spec", c("pieces"))
     own, spec = F.col(c("own")), F.col(c("spec"))
     return rows.withColumn(c("whole"), (own != "") & F.when(F.col(c("kind")) == "org", spec != "").otherwise(F.length(own) > 1))
