@@ -67,8 +67,7 @@ def corrected(rows: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     usual = F.when((F.col("kind") != "") & ((F.col("to_town") == "") | close(F.col("to_town"), F.col("usual"))), F.col("usual"))
     to = to.withColumn("to_town", F.coalesce(usual, "to_town")).filter("to_town <> town or to_core <> core").select(*key, "to_town", "to_core")
     hashed = F.xxhash64(*key).alias("_key")  # sorts faster than five strings; 64 bits tell the distinct places apart
-    # the table to build has distinct keys, so its parts are even and small
-    rows_ = (rows if onto is None else onto).select("*", hashed).join(to.select(hashed, "to_town", "to_core").hint("shuffle_hash"), "_key", "left").withColumns({"town": F.coalesce("to_town", "town"), "core": F.coalesce("to_core", "core")})
+    rows_ = (rows if onto is None else onto).select("*", hashed).join(to.select(hashed, "to_town", "to_core"), "_key", "left").withColumns({"town": F.coalesce("to_town", "town"), "core": F.coalesce("to_core", "core")})
     return rows_.drop("_key", "to_town", "to_core")
 
 

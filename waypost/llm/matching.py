@@ -100,7 +100,7 @@ def _filled(loc: DataFrame, key: Column) -> DataFrame:
     full = {"own": F.when(~short, F.col("g_own")), "initial": F.when(~short, initial), "spec": F.when(F.col("n_spec") != "", F.col("g_spec"))}
     one = loc.groupBy("_key").agg(*[f(c).alias(f"{n}_{p}") for p, c in full.items() for n, f in (("lo", F.min), ("hi", F.max))])
     one = one.select("_key", *[F.when(F.col(f"lo_{p}") == F.col(f"hi_{p}"), F.col(f"lo_{p}")).alias(f"one_{p}") for p in full])
-    part = loc.filter(lacking).join(one.hint("shuffle_hash"), "_key", "left")
+    part = loc.filter(lacking).join(one, "_key", "left")
     fits = ~person | (F.col("n_own") == "") | F.coalesce(F.col("one_initial") == F.col("g_initial"), F.lit(False))
     part = part.withColumns({"g_own": F.when(short & fits, F.coalesce("one_own", "g_own")).otherwise(F.col("g_own")), "g_spec": F.when(F.col("n_spec") == "", F.coalesce("one_spec", "g_spec")).otherwise(F.col("g_spec"))})
     part = part.withColumn("g_initial", F.when(short & fits, F.coalesce("one_initial", "g_initial")).otherwise(F.col("g_initial")))

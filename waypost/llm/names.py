@@ -97,7 +97,7 @@ def normalised(rows: DataFrame, p: str = "") -> DataFrame:
     to = typed.distinct().join(words, ["kind", "word"], "left").withColumn("to_word", F.coalesce("correct", "word")).filter("to_word <> raw or to_own <> own or to_spec <> spec")
     to = to.select(F.xxhash64(*key).alias("_key"), *[F.col(f"to_{x}").alias(f"_{x}") for x in ("word", "own", "spec")])
     rows = rows.withColumnRenamed(c("word"), c("raw"))
-    rows = rows.withColumn("_key", F.xxhash64(*[c(x) for x in key])).join(to.hint("shuffle_hash"), "_key", "left").drop("_key")  # the only shuffle of all rows; to has distinct keys
+    rows = rows.withColumn("_key", F.xxhash64(*[c(x) for x in key])).join(to, "_key", "left").drop("_key")  # the only shuffle of all rows
     rows = rows.withColumns({c("word"): F.coalesce("_word", c("raw")), c("own"): F.coalesce("_own", c("own")), c("spec"): F.coalesce("_spec", c("spec"))}).drop("_word", "_own", "_spec", c("pieces"))
     own, spec = F.col(c("own")), F.col(c("spec"))
     return rows.withColumn(c("whole"), (own != "") & F.when(F.col(c("kind")) == "org", spec != "").otherwise(F.length(own) > 1))
