@@ -153,7 +153,7 @@ def test_truncated(spark):
 def test_every_longer_copy_is_verified(spark):
     words = [f"w{i}" for i in range(90)]
     cut, original = " ".join([*words[:84], "wo"]), " ".join([*words[:84], "word", *words[84:87], "end."])
-    longer = [" ".join([*words[:84], "word", *[f"x{n}y{i}" for i in range(20)], "end."]) for n in range(60)]  # of the original's length class, too unlike the cut text
+    longer = [" ".join([*words[:20], *[f"x{n}y{i}" for i in range(30)], *words[50:84], "word", f"y{n}", "end."]) for n in range(60)]  # longer than the original, too unlike the cut text
     assert {truncation.aligned_end(cut, x) for x in longer} == {""} and truncation.aligned_end(cut, original) == "cut"
     df = spark.createDataFrame([("cut", cut), ("original", original), *[(f"longer {n}", x) for n, x in enumerate(longer)]], "doc_id string, text string").withColumn("source", F.lit("a"))
     assert {r["doc_id"]: r["found"] for r in truncation.judged(df).collect()}["cut"] == "cut"
@@ -196,3 +196,61 @@ def test_properly_ended_copies_are_found(spark):
 @pytest.mark.parametrize("email", ["jo{at}x.org", "jo<at>x.org", "jo {@} x.org", "jo(at )x.org", "jo@x[dot]org", "jo@x dot org", "jo@mail (dot) x dot org"])
 def test_each_disguise_alone_is_redacted(email):
     assert redact(f"Write to {email}, please") == "Write to [EMAIL], please"
+
+
+def test_counts_of_contexts_against_a_plain_count():
+    r = random.Random(2)
+    texts = ["\n".join(" ".join(r.choice(["a", "b.", "C,", "d!", "--", "e:", "7"]) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 5))) for _ in range(60)]
+    want: dict = {}
+    for text in texts:
+        lines = [x.split() for x in text.split("\n") if x.split()]
+        for n, line in enumerate(lines):
+            before: list[str] = []
+            for i, t in enumerate(line):
+                if not (w := truncation._norm(t)):
+                    continue
+                if i == len(line) - 1 and n == len(lines) - 1:
+                    break
+                end = i == len(line) - 1 or t[-1] in ".!?…;:"
+                for k in [w, *([truncation._key([before[-1], w])] if before else []), *([truncation._key([*before[-2:], w])] if len(before) > 1 else [])]:
+                    e, g = want.get(k, (0, 0))
+                    want[k] = (e + end, g + (not end))
+                before = [*before[-1:], w] if t[-1] not in ".!?…" else [w]
+    tokens = truncation.Tokens()
+    contexts = truncation.Contexts(tokens)
+    split = [truncation._tokens_of(t) for t in texts]
+    for ids, (_, line) in zip(tokens.numbers([x for x, _ in split]), split):
+        if len(ids):
+            contexts.add(ids, line)
+    got: dict = {}
+    for row in contexts.counted().to_pylist():
+        k = row["word"] if row["key"] is None else row["key"]
+        e, g = got.get(k, (0, 0))
+        got[k] = (e + row["ends"], g + row["goes"])
+    assert got == want
+
+
+def test_copies_cut_anywhere_are_found(spark):
+    """Texts of 30 to 400 words, each cut at a tenth to nine tenths of its length with one word in 100 changed (a similarity of about 0.9), and texts that share a beginning only."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    rows, cut = [], set()
+    for i in range(150):
+        words = [r.choice(vocabulary) for _ in range(r.randint(30, 400))]
+        words = [w + "." if j % 12 == 11 else w for j, w in enumerate(words)]
+        n = max(10, int(len(words) * r.uniform(0.1, 0.9)))
+        n += words[n - 1].endswith(".") and n < len(words) - 2
+        copy = [r.choice(vocabulary) if r.random() < 1 / 100 and j < n - 8 else w for j, w in enumerate(words[:n])]
+        rows += [(f"o{i}", " ".join(words) + "."), (f"c{i}", " ".join(copy))]
+        cut.add(f"c{i}")
+        rows.append((f"b{i}", " ".join([*words[:8], *[r.choice(vocabulary) for _ in range(40)]]) + "."))
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("source", F.lit("a"))
+    got = {x["doc_id"] for x in truncation.judged(df).filter("found = 'cut'").collect()}
+    assert got <= cut and len(got) >= 0.9 * len(cut), (len(got), len(cut), sorted(got - cut))
+
+
+def test_a_hot_group_of_copies_makes_no_pairs_of_copies(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{words} x{i}.") for i in range(400)] + [(1000, words + " more of this"), (1001, words + " more of")], "doc_id long, text string").withColumn("source", F.lit("a"))
+    found = {x["doc_id"]: x["found"] for x in truncation.judged(df).filter("found is not null").collect()}
+    assert found[1001] == "cut" and set(found) <= {1000, 1001}

@@ -1,23 +1,24 @@
 """Problem 9: text cut off by field limits or broken transfers.
 
-Method: near-copies are found through min-hash banding over shingles of five words (similarity 0.8 or more) and verified pairs are
-aligned at the end of the shorter text: if the longer one goes on inside the word or the sentence, the shorter one was cut; if its
-sentence ends there, it wasn't. This holds for texts that end properly too: one that ends in "Dr." or a bracket may still be cut. What
-runs on without a near-copy is scored by the terminality of its closing words, learned from the inside of all
-texts: how often the last three, two or one words are followed by the end of a sentence or line, against how often the text goes on.
-A last word that is no word of the corpus but begins one was cut. Lengths at which a source's texts pile up without ending are its
-field limits: there, running text without an end is cut.
-
-Texts are compared as distinct values, so copies cost nothing. A pair can only align where the last words before the end of the
-shorter text stand inside the longer one, so the texts of a bucket are joined on these words (an inverted index of the texts that
-share a bucket). The longest text of each key is verified first, since in a group of near-copies nearly any one shows the cut; a text
-it doesn't settle is verified against every other one. Copies that stop at the same word say nothing about each other and never pair.
+Method: near-copies are found through min-hash banding over shingles of five words. A text may have been cut anywhere, and then most of
+its original has no counterpart, so what is compared are beginnings: each text has a signature for its first 5, 20, 80, 320 ... words
+and looks with the longest one that it fills among all those of the others. Verified pairs - similarity of 0.8 or more between the
+text and the part of the other one up to the place where it ends - are aligned at the end of the shorter text: if the longer one goes
+on inside the word or the sentence, the shorter one was cut; if its sentence ends there, it wasn't. This holds for texts that end
+properly too: one that ends in "Dr." or a bracket may still be cut. What runs on without a near-copy is scored by the terminality of its
+closing words, learned from the inside of all texts: how often the last three, two or one words are followed by the end of a sentence or
+line, against how often the text goes on. A last word that is no word of the corpus but begins one was cut. Lengths at which a source's
+texts pile up without ending are its field limits: there, running text without an end is cut.
+
+Texts are compared as distinct values, so copies cost nothing. One pass over them gives endings, contexts and signatures. A pair can only
+align where the last words before the end of the shorter text stand inside the longer one, so the texts of a bucket are joined on these
+words. The longest text of each continuation is verified first, since in a group of near-copies nearly any one shows the cut; a
+text it doesn't settle is verified against every other one. Copies that stop at the same word say nothing about each other and never pair.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,14 @@ from pyspark.sql import functions as F
 
 from waypost.session import staged
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 5, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 10, 5, 0.8  # beginnings alike by 0.8 share one of the bands with a chance of 0.981, by 0.9 of 0.9999, by 0.3 of 0.02
+GROWTH = 4  # ratio of the lengths of the beginnings compared
 KNOWN = 3  # times a word or context must occur inside texts to count as evidence
 TERMINAL = 0.08  # share of ends below which closing words are inside a sentence
-TAIL = 6  # words before the last one that a near-copy must have in the same order
+TAIL = 6  # words before the last one that a near-copy must have in the same order; shorter texts have no near-copies
+SHIFT = 0.25  # share of its words by which the end of a text may stand elsewhere in a near-copy
 LIMIT_SHARE = 0.05  # share of a source's open-ended texts that one length needs to be a field limit
+FLUSH = 2_000_000  # tokens whose contexts are counted before they are handed on
 
 # Marks of a cut, and phrases that end in dots by habit.
 MARKS = re.compile(r"(?:\s*(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\[?\(?(?:message |text )?(?:clipped|truncated|cut off|continued|more)\)?\]|�+|<more>))+\s*$", re.I)
@@ -55,35 +59,103 @@ def _norm(token: str) -> str:
     return re.sub(r"\d", "0", token.lower().strip("\"'“”‘’()[]{}<>«»¿¡,;:.!?…*|"))
 
 
+_C = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+
+
+def _mixed(*columns: np.ndarray) -> np.ndarray:
+    """One hash of each row of hashes, depending on their order."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(_C) + c
+    return out ^ (out >> np.uint64(32))
+
+
 def _key(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-
-
-def inside_counts(text: str, keys: Counter, words: Counter) -> None:
-    """Adds the contexts inside text: keys[hash] = ends + 2**32 * continuations for two and three words, words[word] likewise."""
-    for m in re.finditer(r"[^\r\n]+", text):
-        tokens = m[0].split()
-        if not tokens:
-            continue
-        last_line = not text[m.end() :].strip()
-        prev2 = prev = ""
-        for i, t in enumerate(tokens):
-            w = _norm(t)
-            if not w:
-                continue
-            final = i == len(tokens) - 1
-            if final and last_line:
-                break  # the end of the text itself is no evidence
-            ends = final or t[-1] in ".!?…;:\"”)"
-            one = 1 if ends else 1 << 32
-            words[w] += one
-            if prev:
-                keys[_key([prev, w])] += one
-                if prev2:
-                    keys[_key([prev2, prev, w])] += one
-            prev2, prev = prev, w
-            if ends and t[-1] in ".!?…":
-                prev2, prev = "", prev  # contexts of three don't reach over sentences
+    """_mixed() of a few words, as a signed number."""
+    out = 0
+    for w in words:
+        out = ((out ^ (out >> 29)) * _C + xxhash.xxh64_intdigest(w)) & _MASK
+    out ^= out >> 32
+    return out - (1 << 64) if out >> 63 else out
+
+
+class Tokens:
+    """Numbers tokens and holds, by number, the hashes of their forms - as they stand, lower case, normalised - and what they can end."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.norms: list[str] = []
+        self.arrays: list[np.ndarray] = []
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each text's tokens."""
+        ids, new = self.ids, []
+        for t in set().union(*texts).difference(ids):
+            ids[t] = len(ids)
+            n = _norm(t)
+            self.norms.append(n)
+            new.append([xxhash.xxh64_intdigest(x) for x in (t, t.lower(), n)] + [n != "", t[-1] in ".!?…;:\"”)", t[-1] in ".!?…", *_closing(t)])
+        cols = [np.array(c, np.uint64 if i < 3 else bool) for i, c in enumerate(list(zip(*new)) or [()] * 12)]
+        self.arrays = [np.concatenate(x) for x in zip(self.arrays, cols)] if self.arrays else cols
+        return [np.fromiter(map(ids.__getitem__, x), np.int64, len(x)) for x in texts]
+
+
+class Contexts:
+    """Counts, inside texts, how often words and two and three words in a row end a sentence or line, and how often the text goes on."""
+
+    def __init__(self, tokens: Tokens):
+        self.tokens, self.held, self.size = tokens, [], 0
+
+    def add(self, ids: np.ndarray, line: np.ndarray) -> None:
+        """ids of one text's tokens and the number of each one's line."""
+        self.held.append((ids, line + 2 * (self.held[-1][1][-1] if self.held else 0) + 2))
+        self.size += len(ids)
+
+    def counted(self) -> pa.RecordBatch:
+        ids, line = (np.concatenate(x) if self.held else np.zeros(0, np.int64) for x in (zip(*self.held) if self.held else ((), ())))
+        last_of = np.array([x[1][-1] for x in self.held], np.int64)
+        self.held, self.size = [], 0
+        _, _, norm, there, ends, stops = self.tokens.arrays[:6] or [np.zeros(0, t) for t in (np.uint64,) * 3 + (bool,) * 3]
+        final = np.append(line[1:] != line[:-1], True) if len(line) else np.zeros(0, bool)
+        kept = there[ids] & ~(final & np.isin(line, last_of))  # the end of the text itself is no evidence
+        end = ((ends[ids] | final) & kept)[kept]
+        ids, line = ids[kept], line[kept]
+        h, stop = norm[ids], stops[ids]
+        two = line[1:] == line[:-1]
+        three = two[1:] & two[:-1] & ~stop[1:-1]  # contexts of three don't reach over sentences
+        keys = np.concatenate([_mixed(h[:-1], h[1:])[two], _mixed(h[:-2], h[1:-1], h[2:])[three]]) if len(h) > 2 else _mixed(h[:-1], h[1:])[two] if len(h) > 1 else h[:0]
+        key_end = np.concatenate([end[1:][two], end[2:][three]]) if len(h) > 2 else end[1:][two] if len(h) > 1 else end[:0]
+        keys, at = np.unique(keys, return_inverse=True)
+        n, e = np.bincount(at, minlength=len(keys)), np.bincount(at, key_end, len(keys)).astype(np.int64)
+        words, at = np.unique(ids, return_inverse=True)
+        wn, we = np.bincount(at, minlength=len(words)), np.bincount(at, end, len(words)).astype(np.int64)
+        none = len(words)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(none, pa.int64())]), pa.array([*[None] * len(keys), *[self.tokens.norms[i] for i in words]], pa.string()),
+                pa.array(np.concatenate([e, we])), pa.array(np.concatenate([n - e, wn - we])),
+            ], names=["key", "word", "ends", "goes"],
+        )
+
+
+def _tokens_of(text: str) -> tuple[list[str], np.ndarray]:
+    """The tokens of a text and the number of each one's line."""
+    lines = [x for line in re.split(r"[\r\n]+", text) if (x := line.split())]
+    return [t for x in lines for t in x], np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+
+
+_MARK_ROOM = 400
+
+
+def _marked(text: str) -> int:
+    """Where the marks of a cut at the end of text begin, or its length."""
+    start = max(0, len(text) - _MARK_ROOM)
+    m = MARKS.search(text, start)
+    if m and m.start() == start and start:
+        m = MARKS.search(text)
+    return m.start() if m else len(text)
 
 
 def ending(text: str | None) -> tuple[str, str, int, int]:
@@ -94,16 +166,14 @@ def ending(text: str | None) -> tuple[str, str, int, int]:
     """
     if not text or not text.strip():
         return "none", "", 0, 0
-    marked = MARKS.search(text)
-    body = text[: marked.start()] if marked else text.rstrip()
-    body = body.rstrip()
-    if not body or HABIT.search(body):
+    body = text[: _marked(text)].rstrip()
+    if not body or HABIT.search(body[-40:]):
         return "done", "", 0, 0
-    if body.count("<") and re.search(r"<[/!]?[A-Za-z]?[^<>]{0,200}$", body) and "<" in body[-200:]:
+    if "<" in body[-200:] and re.search(r"<[/!]?[A-Za-z]?[^<>]{0,200}$", body[-260:]):
         tail = body[body.rindex("<") :]
         if ">" not in tail and re.match(r"</?[a-z][^<>]*$|</?$", tail):
             return "cut", "", 0, 0
-    line = re.split(r"[\r\n]+", body)[-1].strip()
+    line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :].strip()
     if _END.search(line) and not (line[-1] in "'’" and len(line) > 1 and line[-2] == " "):
         if not (line[-1] == ":" and re.fullmatch(r"(?:P|Tel|Phone|Key)\W*", line)) and not (line[-1] == ")" and _PHONE_HEAD.fullmatch(line)):
             return "done", "", 0, 0
@@ -126,101 +196,109 @@ def ending(text: str | None) -> tuple[str, str, int, int]:
     return state, words[-1], two, three
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(keys: Counter, words: Counter) -> pa.RecordBatch:
-        n, low = len(keys), (1 << 32) - 1
-        values = [*keys.values(), *words.values()]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*keys, *[None] * len(words)], pa.int64()), pa.array([*[None] * n, *words], pa.string()),
-                pa.array([v & low for v in values], pa.int64()), pa.array([v >> 32 for v in values], pa.int64()),
-            ], names=["key", "word", "ends", "goes"],
-        )
+_A = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_B = np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 
-    keys, words = Counter(), Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            inside_counts(text, keys, words)
-            if len(keys) > 400_000:
-                yield out(keys, words)
-                keys, words = Counter(), Counter()
-    yield out(keys, words)
 
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """The hashes of five consecutive words, in their order; h: the words' hashes."""
+    n = max(0, len(h) - SHINGLE + 1)
+    return _mixed(*[h[i : i + n] for i in range(SHINGLE)])
 
-_A = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 
+def beginnings(n: int) -> list[int]:
+    """The lengths of the beginnings that a text of n words is compared by."""
+    out, k = [], SHINGLE
+    while k <= n:
+        out.append(k)
+        k *= GROWTH
+    return out
 
-def shingles(text: str) -> np.ndarray:
-    """The distinct hashes of five consecutive words (of all words, where there are fewer)."""
-    words = [xxhash.xxh64_intdigest(w) for w in text.lower().split()]
-    h = np.array(words, dtype=np.uint64)
-    k = min(SHINGLE, len(h))
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-            out ^= out >> np.uint64(29)
-    return np.unique(out)
-
-
-def bands(text: str) -> list[int]:
-    s = shingles(text)
-    if not len(s):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """BANDS band hashes for each beginning of a text, the longest beginning last; h: the hashes of its words in lower case."""
+    ks = beginnings(len(h))
+    if not ks:
+        return np.zeros(0, np.int64)
+    s = _shingles(h[: ks[-1]])
     with np.errstate(over="ignore"):
-        for i in range(0, len(s), 2048):
-            part = (s[i : i + 2048, None] * _A[None, :] + _B[None, :]) >> np.uint64(16)
-            np.minimum(least, part.min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(bytes([j]) + least[j * ROWS : (j + 1) * ROWS].tobytes()) - (1 << 63) for j in range(BANDS)]
+        least = np.minimum.reduceat((s[:, None] * _A[None, :] + _B[None, :]) >> np.uint64(16), [0, *[k - SHINGLE + 1 for k in ks[:-1]]], axis=0)
+    least = np.minimum.accumulate(least, axis=0).reshape(len(ks), BANDS, ROWS)
+    which = np.arange(len(ks) * BANDS, dtype=np.uint64)
+    return _mixed(which, *[least[:, :, i].reshape(-1) for i in range(ROWS)]).view(np.int64)
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PASS = "h bigint, state string, last string, two bigint, three bigint, n_words int, bands array<bigint>, key bigint, word string, ends bigint, goes bigint"
+
+
+def _pass_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text with its ending and bands (h is not null), and rows with counts of contexts."""
+    tokens = Tokens()
+    contexts = Contexts(tokens)
+
+    def counts() -> pa.RecordBatch:
+        c = contexts.counted()
+        n = c.num_rows
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*none, *c.columns], names=names)
+
+    names = [x.split()[0] for x in _PASS.split(", ")]
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bands(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["h", "bands"])
+        texts = b.column(1).to_pylist()
+        rows = list(zip(*map(ending, texts))) or [()] * 4
+        split = [_tokens_of(t) for t in texts]
+        sizes, signed = [len(x) for x, _ in split], []
+        for ids, (_, line) in zip(tokens.numbers([x for x, _ in split]), split):
+            signed.append(bands(tokens.arrays[1][ids]))
+            if len(ids):
+                contexts.add(ids, line)
+        n = b.num_rows
+        own = [b.column(0), *[pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.string(), pa.int64(), pa.int64()))], pa.array(sizes, pa.int32()), pa.array(signed, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+        if contexts.size > FLUSH:
+            yield counts()
+            tokens = Tokens()
+            contexts = Contexts(tokens)
+    yield counts()
 
 
 def aligned_end(short: str, long: str) -> str:
-    """'cut' if long, a near-copy, goes on inside the word or sentence where short ends; 'end' if its sentence ends there; else ''."""
-    body = MARKS.sub("", short).rstrip()
-    a, b = shingles(body), shingles(long)
-    if not len(a) or not len(b):
-        return ""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    if both < SIMILARITY * (len(a) + len(b) - both):
+    """'cut' if long, a near-copy as far as short goes, goes on inside the word or sentence where short ends; 'end' if its sentence ends there; else ''."""
+    s = short[: _marked(short)].split()
+    if len(s) < TAIL + 2:
         return ""
-    s = body.split()
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(long)]
     t = [long[x:y] for x, y in spans]
-    k = min(TAIL, len(s) - 1)
-    if k < 2:
-        return ""
-    tail = s[-k - 1 : -1]
-    at = [i + k for i in range(len(t) - k) if t[i] == tail[0] and t[i : i + k] == tail]
+    tail, last = s[-TAIL - 1 : -1], s[-1]
+    reach = SHIFT * len(s) + 1
+    at = [i + TAIL for i in range(len(t) - TAIL) if t[i] == tail[0] and abs(i + TAIL + 1 - len(s)) <= reach and t[i : i + TAIL] == tail and t[i + TAIL].startswith(last)]
     if not at:
         return ""
-    i = min(at, key=lambda j: abs(j - len(s)))
-    last, there = s[-1], t[i]
-    if not there.startswith(last):
+    i = min(at, key=lambda j: abs(j + 1 - len(s)))
+    x, y = (set(zip(*[[w.lower() for w in words][k:] for k in range(SHINGLE)])) for words in (s[:-1], t[:i]))
+    if len(x & y) < SIMILARITY * len(x | y):
         return ""
+    there = t[i]
     if there == last:
         return _goes(long, spans, i)
     rest = there[len(last) :]
     return "end" if re.fullmatch(r"[.!?…:;)\"”]+", rest) or (rest[0] == "<" or last[-1] == ">") and _closed(last, rest.lstrip("<")) else "cut"
 
 
+def _closing(token: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """What _closed() asks of a token: it closes by itself, it has a stop, it is a shortened or a numbered one; as the next word, it begins small or with a digit."""
+    core = _CLOSERS.sub("", token)
+    bare = token.lstrip("\"'“«([{")[:1]
+    return (
+        bool(_BLOCK_END.search(token) or re.search(r"[:;]-?\)$", token)), core[-1:] in set(".!?…"), bool(_SHORTENED.fullmatch(core)), bool(_NUMBERED.fullmatch(core)), bare.islower(), bare.isdigit()
+    )
+
+
 def _closed(last: str, follows: str) -> bool:
     """Whether last ends a sentence or block of markup where follows comes next; an abbreviation or initial doesn't."""
-    if _BLOCK_END.search(last) or re.search(r"[:;]-?\)$", last):
-        return True
-    core = _CLOSERS.sub("", last)
-    if not core or core[-1] not in ".!?…":
-        return False
-    bare = follows.lstrip("\"'“«([{")[:1]
-    return not (bare.islower() or _SHORTENED.fullmatch(core) or bare.isdigit() and _NUMBERED.fullmatch(core))
+    alone, stop, short, numbered, _, _ = _closing(last)
+    _, _, _, _, small, digit = _closing(follows)
+    return alone or stop and not (small or short or digit and numbered)
 
 
 def _goes(long: str, spans: list[tuple[int, int]], i: int) -> str:
@@ -232,36 +310,36 @@ def _goes(long: str, spans: list[tuple[int, int]], i: int) -> str:
 
 
 def _tail_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last word of each text and the key of the words before it, by which its near-copies are found."""
+    """Each text's last word, the hash of the words before it by which its near-copies are found, and its number of words."""
     for b in batches:
-        hs, lasts, tails = [], [], []
+        rows = []
         for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = MARKS.sub("", text).split()
-            k = min(TAIL, len(s) - 1)
-            if k >= 2:
-                hs.append(h), lasts.append(s[-1]), tails.append(_key(s[-k - 1 : -1]))
-        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(lasts, pa.string()), pa.array(tails, pa.int64())], names=["h", "last", "tail"])
+            s = text[: _marked(text)].split()
+            if len(s) >= TAIL + 2:
+                rows.append((h, s[-1], _key(s[-TAIL - 1 : -1]), len(s)))
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int32()))], names=["h", "last", "tail", "size"])
 
 
 def _inside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word of a text with the key of the words before it, the number of words and whether the sentence goes on after it.
-
-    Keys of fewer than TAIL words only serve texts of TAIL words at most. Such a text has two shingles at most, and so has its copy.
-    """
-    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
-    names = ["other", "tail", "there", "goes", "n_words"]
-    rows: list[tuple] = []
+    """For each word of a text from the one after the first TAIL on: the hash of the words before it, the word, its place, and what
+    follows it: nothing (0), more of its sentence (1) or another sentence or line (2)."""
+    names = ["other", "tail", "there", "goes", "at", "n_words"]
     for b in batches:
-        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-            t = [text[x:y] for x, y in spans]
-            sizes = range(2, TAIL + 1) if len(shingles(text)) <= 2 else (TAIL,)
-            rows += {(h, _key(t[i - k : i]), t[i], _goes(text, spans, i), len(t)) for k in sizes for i in range(k, len(t))}
-            if len(rows) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=names)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=names)
+        tokens = Tokens()
+        out = []
+        split = [_tokens_of(t) for t in b.column(1).to_pylist()]
+        for h, ids, (_, line) in zip(b.column(0).to_pylist(), tokens.numbers([x for x, _ in split]), split):
+            n = len(ids) - TAIL
+            if n > 0:
+                alone, stop, short, numbered, small, digit = (x[ids] for x in tokens.arrays[6:])
+                closed = alone[:-1] | (stop[:-1] & ~(small[1:] | short[:-1] | (digit[1:] & numbered[:-1])))
+                goes = np.append(np.where(closed | (line[1:] != line[:-1]), 2, 1), 0)
+                w = tokens.arrays[0][ids]
+                out.append((np.full(n, h, np.int64), _mixed(*[w[i : i + n] for i in range(TAIL)]).view(np.int64), ids[TAIL:], goes[TAIL:], np.arange(TAIL + 1, len(w) + 1), np.full(n, len(w))))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+        there = pa.array(list(tokens.ids), pa.string()).take(pa.array(cols[2]))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), there, *[pa.array(c, pa.int32()) for c in cols[3:]]], names=names)
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,40 +348,44 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["h", "found"])
 
 
-def _ending_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = list(zip(*map(ending, b.column(1).to_pylist()))) or [()] * 4
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, types)], names=["h", "state", "last", "two", "three"])
-
-
-def _aligned(texts: DataFrame, seeking: DataFrame) -> DataFrame:
-    """(h, found): the texts of seeking (h, open) that end where a near-copy goes on ('cut' if any goes on in mid-sentence, else 'end').
+def _aligned(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """(h, found): the texts (h, text) that end where a near-copy goes on ('cut' if any goes on in mid-sentence, else 'end').
 
-    'end' is told for open texts only; it changes nothing about a text that ends properly.
+    signed: h, bands and open of each text; 'end' is told for open ones only, as it changes nothing about others. A text looks with the bands of its longest beginning among those of all beginnings.
     """
-    hashed = staged(texts.select("h", "text").mapInArrow(_band_batches, "h string, bands array<bigint>"), "bands")
-    hashed = hashed.select("h", F.explode("bands").alias("band"))
-    shared = hashed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    hashed = staged(hashed.join(shared, "band", "left_semi"), "buckets")
-    near = staged(texts.join(hashed.select("h").distinct(), "h", "left_semi").select("h", "text"), "near")
-    tails = near.join(seeking, "h", "left_semi").mapInArrow(_tail_batches, "h string, last string, tail bigint")
-    tails = staged(tails.join(seeking, "h").join(hashed, "h"), "tails")
-    inside = near.mapInArrow(_inside_batches, "other string, tail bigint, there string, goes string, n_words int")
-    inside = inside.join(tails.select("tail").distinct(), "tail", "left_semi")
-    inside = staged(inside.join(hashed.select(F.col("h").alias("other"), "band"), "other"), "inside")
-    alike = (F.col("h") != F.col("other")) & F.col("there").startswith(F.col("last")) & ((F.col("there") != F.col("last")) | (F.col("goes") == "cut") | (F.col("open") & (F.col("goes") == "end")))
+    each = signed.filter("size(bands) > 0").select("h", F.size("bands").alias("n"), F.posexplode("bands").alias("i", "band")).select("h", "band", F.floor(F.col("i") / BANDS).cast("int").alias("k"), (F.col("i") >= F.col("n") - BANDS).alias("seeks"))
+    shared = each.groupBy("band").agg(F.count("*").alias("n"), F.max("seeks").alias("sought")).filter("n > 1 and sought").select("band")
+    each = staged(each.join(shared, "band", "left_semi"), "buckets")
+    near = staged(texts.join(each.select("h").distinct(), "h", "left_semi").select("h", "text"), "near")
+    tails = near.mapInArrow(_tail_batches, "h bigint, last string, tail bigint, size int")
+    tails = tails.join(signed.select("h", "open"), "h")
+    # what a text looks for: a beginning like its own, the words before its end, and its last word to start the word in that place
+    sought = F.xxhash64("band", "tail", "last", "open").alias("x")
+    tails = staged(tails.join(each.filter("seeks").select("h", "band"), "h").select("*", sought), "tails")
+    inside = near.mapInArrow(_inside_batches, "other bigint, tail bigint, there string, goes int, at int, n_words int")
+    # a copy that stops at the same word says nothing, and one whose sentence ends there only something about open texts
+    end = ["tail", "last", "open"]
+    alike = F.col("there").startswith(F.col("last")) & ((F.col("there") != F.col("last")) | (F.col("goes") == 1) | (F.col("open") & (F.col("goes") == 2)))
+    inside = inside.join(tails.select(end).distinct(), "tail").filter(alike)
+    begins = SHINGLE * F.pow(F.lit(float(GROWTH)), "k")
+    reached = (F.col("at") >= begins * (1 - SHIFT) - 1) & (F.col("at") <= begins * GROWTH * (1 + SHIFT) + 1)  # where a text with this beginning can end
+    inside = inside.join(each.select(F.col("h").alias("other"), "band", "k"), "other").filter(reached)
+    inside = inside.select(sought, F.xxhash64("there", "goes").alias("way"), "other", "at", "n_words")
+    inside = staged(inside.join(tails.select("x").distinct(), "x", "left_semi"), "inside")
+    alike = (F.col("h") != F.col("other")) & (F.abs(F.col("at") - F.col("size")) <= SHIFT * F.col("size") + 1)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter(alike).select("h", "other").distinct()
         pairs = pairs.join(near, "h").join(near.select(F.col("h").alias("other"), F.col("text").alias("long")), "other")
-        pairs = pairs.filter("length(long) > length(text)").select("h", "text", "long").mapInArrow(_pair_batches, "h string, found string")
+        pairs = pairs.select("h", "text", "long").mapInArrow(_pair_batches, "h bigint, found string")
         return staged(pairs.filter("found <> ''").groupBy("h").agg(F.min("found").alias("found")), "aligned")
 
-    longest = inside.groupBy("band", "tail", "there", "goes").agg(F.max_by("other", F.struct("n_words", "other")).alias("other"))
-    first = verified(tails.join(longest, ["band", "tail"]))
+    longest = inside.groupBy("x", "way").agg(F.max_by(F.struct("other", "at"), F.struct("n_words", "other", "at")).alias("o")).select("x", "way", "o.other", "o.at")
+    longest = staged(longest, "longest")
+    first = verified(tails.join(longest, "x"))
     rest = tails.join(first.filter("found = 'cut'"), "h", "left_anti")
-    return first.unionByName(verified(rest.join(inside, ["band", "tail"]))).groupBy("h").agg(F.min("found").alias("found"))
+    others = inside.join(longest, ["x", "way", "other", "at"], "left_anti")
+    return first.unionByName(verified(rest.join(others, "x"))).groupBy("h").agg(F.min("found").alias("found"))
 
 
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -313,14 +395,14 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     has a field limit there. An empty table gives no rows.
     """
     docs = df.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    h = F.struct(F.xxhash64("text").alias("x"), F.hash("text").alias("y"), F.length("text").alias("n"))
-    docs = docs.withColumn("h", F.to_json(h))
+    docs = docs.withColumn("h", F.xxhash64("text", F.length("text")))  # 64 bits tell the distinct texts apart
     texts = staged(docs.filter("trim(text) <> ''").groupBy("h").agg(F.first("text").alias("text")), "texts")
-    ends = staged(texts.mapInArrow(_ending_batches, "h string, state string, last string, two bigint, three bigint"), "ends")
+    once = staged(texts.mapInArrow(_pass_batches, _PASS), "pass")
+    ends = once.filter("h is not null").select("h", "state", "last", "two", "three")
     open_ = ends.filter("state in ('prose', 'line')")
 
-    counts = texts.select("text").mapInArrow(_count_batches, "key bigint, word string, ends bigint, goes bigint")
-    counts = staged(counts.groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")), "contexts")
+    counts = once.filter("h is null").groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    counts = staged(counts, "contexts")
     by_key = counts.filter("key is not null").select("key", "ends", "goes")
     by_word = counts.filter(f"word is not null and ends + goes >= {KNOWN}").select("word", "ends", "goes")
     scored = open_
@@ -334,7 +416,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     score = F.when(n("3") >= KNOWN, rate("3")).when(n("2") >= KNOWN, rate("2")).when(n("1") >= KNOWN, F.greatest(rate("1"), F.lit(TERMINAL) / 2))
     scored = scored.select("h", "state", score.alias("score"), (F.col("e1").isNull() & F.col("stem").isNotNull()).alias("part"), (n("2") > 0).alias("seen"))
 
-    aligned = _aligned(texts, ends.filter("state in ('done', 'prose', 'line')").select("h", (F.col("state") != "done").alias("open")))
+    aligned = _aligned(texts, once.filter("h is not null").select("h", "bands", F.col("state").isin("prose", "line").alias("open")))
 
     answers = staged(ends.select("h", F.col("state").alias("s")).join(scored.drop("state"), "h", "left").join(aligned, "h", "left"), "answers")
     sized = docs.select("id", "source", "h", F.length("text").alias("chars"), F.octet_length("text").alias("octets")).join(answers, "h", "left")
