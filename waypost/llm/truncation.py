@@ -110,7 +110,7 @@ class Contexts:
 
     def add(self, ids: np.ndarray, line: np.ndarray) -> None:
         """ids of one text's tokens and the number of each one's line."""
-        self.held.append((ids, line + 2 * (self.held[-1][1][-1] if self.held else 0) + 2))
+        self.held.append((ids, line + (self.held[-1][1][-1] + 1 if self.held else 0)))
         self.size += len(ids)
 
     def counted(self) -> pa.RecordBatch:
