@@ -63,6 +63,12 @@ def test_new_lines(spark):
     assert new_lines(None, None, None) == [] and new_lines("> only\n> quotes", None, None) == []
     nodes = parse_layout(TOP.split("\n"))
     assert [n.kind for n in nodes] == ["authored", "signature", "history"] and [c.kind for c in nodes[2].children()] == ["authored", "history"]
+    below = "-----Original Message-----\nFrom: Bob Orr\nSent: x\nTo: y\n\nHi,\nplease send the chart.\n\nThanks,\n\nBob Orr\nClerk\n\nIt went out today.\nSee page 2.\n\nRegards,\nRita\n"
+    assert new_lines(below, None, "Rita Quell <r@x.org>") == ["It went out today.", "See page 2."]
+    assert new_lines("New.\n" + below, None, "Rita Quell") == ["New."] and new_lines(below, None, "Sam Vole") == [] and new_lines(below, None, None) == []
+    nested = "From: Ann Hale\nSent: x\nTo: y\n\nFwd.\n" + below
+    assert new_lines(nested, None, "Rita Quell") == ["It went out today.", "See page 2."]
+    assert new_lines(">" * 5000 + " deep", None, "Rita Quell") == []
     df = spark.createDataFrame([(1, TOP, None, "Rita Quell"), (2, None, None, None)], "email_id long, text string, html string, sender string").withColumn("key", F.lit(0))
     assert newly_written(df).count() == 3 and newly_written(df.limit(0)).count() == 0
 

@@ -5,11 +5,14 @@ Method: a recursive layout grammar over the lines of a mail,
     message   := (authored | signature | history)*
     authored  := lines that are none of the others
     signature := (closing | delimiter | own name | disclaimer | device note) line*     up to the next history
-    history   := heading quoted-message | heading rest-as-message | quoted-message
+    history   := heading quoted-message | heading rest | quoted-message
     heading   := "On ... wrote:" | From/Sent/To/Subject block | "Original message" rule | "Begin forwarded message:"
     quoted-message := message, one quoting level ('>' or '|') deeper
+    rest      := message [answer]                   by the one the heading names
+    answer    := authored, behind that one's signature and closed by the sender's name
 
-Only the authored nodes of the outermost message are newly written; histories keep their lines and are parsed when asked for.
+The tree is serialised from the outermost message: its authored nodes are newly written. Where it has none, the sender may have written
+below what is quoted without marks, so the rests are parsed and descended into, each with the name of its own writer, for an answer.
 HTML is first turned into lines, block quotes into quoting levels.
 """
 
@@ -52,14 +55,38 @@ _QUOTE = re.compile(r"\s*[>|]")
 
 @dataclass
 class Node:
-    """A part of a mail: kind 'authored', 'signature' or 'history', with its lines (quoting of one level taken off)."""
+    """A part of a mail: kind 'authored', 'signature' or 'history', with its lines (quoting of one level taken off).
+
+    by: the writer that a history's heading names; rest: whether it is all that follows an unquoted heading.
+    """
 
     kind: str
     lines: list[str] = field(default_factory=list)
+    by: Signer | None = None
+    rest: bool = False
 
-    def children(self, signer: Signer | None = None) -> list[Node]:
+    def children(self) -> list[Node]:
         """The parts of an earlier message."""
-        return parse_layout(self.lines, signer) if self.kind == "history" else []
+        return parse_layout(self.lines, self.by) if self.kind == "history" else []
+
+    def answer(self, signer: Signer) -> list[str]:
+        """What signer wrote below the message of a rest: the lines between that writer's signature and signer's own name."""
+        if not (self.rest and signer.words) or self.by is None or self.by.words & signer.words:
+            return []
+        lines = self.lines
+        stop = next((i for i, x in enumerate(lines) if x.strip() and (_QUOTE.match(x) or _heading(lines, i) > i)), len(lines))
+        i = next((i for i in range(stop) if lines[i].strip() and _starts_signature(lines[i].strip(), self.by, False)), stop)
+        while i < stop:  # the signature's paragraphs: a closing may stand apart from the name
+            i = next((k for k in range(i, stop) if not lines[k].strip()), stop)
+            k = _next(lines, i)
+            if k >= stop or not _starts_signature(lines[k].strip(), self.by, False):
+                break
+            i = k
+        end = next((k for k in range(i, stop) if (w := re.findall(r"[^\W\d_]+", lines[k].lower())) and len(w) <= 3 and not re.search(r"[\d@:;?!]", lines[k]) and signer.signs(w)), i)
+        found = [x for x in lines[i:end] if x.strip()]
+        while found and _CLOSING.fullmatch(found[-1].strip()):
+            found.pop()
+        return found
 
 
 def _unquote(line: str) -> str:
@@ -93,6 +120,23 @@ def _heading(lines: list[str], i: int) -> int:
     return j
 
 
+def _writer(heading: list[str]) -> Signer:
+    """Whom a heading names as the writer of what follows."""
+    said = next((m[0].split(":", 1)[1] for x in heading if (m := re.match(r"\s*\*?(?:from|de|von)\s*:.*", x, re.I))), "")
+    if not said and (m := re.search(r"([^\d,<>:]+?)\s*(?:<[^<>]*>)?\s*(?:wrote|escribió|schrieb|a écrit|ha scritto)\b", " ".join(heading), re.I)):
+        said = m[1]
+    return Signer.of(said)
+
+
+def written(nodes: list[Node], signer: Signer) -> list[str]:
+    """The newly written lines of a message: its authored leaves, or else an answer below a rest, however deep the rest is nested."""
+    out = [x for n in nodes if n.kind == "authored" for x in n.lines]
+    while not out and (rest := next((n for n in nodes if n.rest), None)):
+        out = rest.answer(signer)
+        nodes = rest.children()
+    return out
+
+
 def _starts_signature(s: str, signer: Signer, first: bool) -> bool:
     if len(s) < 40 and _CLOSING.fullmatch(s):
         return True
@@ -131,7 +175,7 @@ def parse_layout(lines: list[str], signer: Signer | None = None) -> list[Node]:
             if k < len(lines) and _QUOTE.match(lines[k]):
                 i = k  # what is quoted follows; new text may come behind it
             else:
-                nodes.append(Node("history", lines[j:]))
+                nodes.append(Node("history", lines[j:], _writer(lines[i:j]), rest=True))
                 break
             signed = False
             continue
@@ -226,12 +270,10 @@ def new_lines(text: str | None, html: str | None, sender: str | None) -> list[st
     else:
         return []
     out: dict[str, None] = {}
-    nodes = parse_layout(lines, Signer.of(sender))
-    for n in nodes:
-        if n.kind == "authored":
-            for x in n.lines:
-                if s := " ".join(x.split()):
-                    out[s] = None
+    signer = Signer.of(sender)
+    for x in written(parse_layout(lines, signer), signer):
+        if s := " ".join(x.split()):
+            out[s] = None
     return list(out)
 
 
