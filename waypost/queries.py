@@ -332,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
         "distances": f"select ref_ord, cast(round({_HAV.format(y1='latitude', x1='longitude', y2='43.7', x2='(-71.3)')}) as bigint) metres from locations where {_USABLE}",
         "blocking_zip": grouped(by_zip),
         "blocking_citystate": grouped(f"{by_town} where {town('l')} <> '' and {state('l')} <> ''"),
-        "blocking_fallback": grouped(f"{by_zip} union all {by_town} where ({town('l')} <> '' or {state('l')} <> '') and {zb} not in (select {zl} from locations l where {zl} <> '')"),
+        "blocking_fallback": grouped(f"{by_zip} union all {by_town} where {zb} not in (select {zl} from locations l where {zl} <> '')"),
         "blocking_sql": grouped(
             "select b.block_id doc_id, l.ref_ord from parsed_blocks b join locations l on substr(coalesce(b.postal_code, ''), 1, 5) = substr(coalesce(l.postal_code, ''), 1, 5) where coalesce(b.postal_code, '') <> ''"
             " union all select b.block_id, l.ref_ord from parsed_blocks b join locations l on b.city = l.city and b.state = l.state where coalesce(b.postal_code, '') = ''"
