@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waypost import oracle
 from waypost.functions import fuzzy, geo
 from waypost.functions import text as T
 from waypost.operators import blocks, layout, match, nearby, views
@@ -272,6 +273,13 @@ _PAIRS = "select b.block_id, l.ref_ord, coalesce(b.name, '') a, coalesce(l.name,
 _COUNTS = "doc_id, count(*) n, min(ref_ord) first_ref, max(ref_ord) last_ref"
 
 
+_TIER2 = " union all select doc_id, ref_ord from d join r on d.t = r.t and d.s = r.s where d.z not in (select z from r where z <> '')"
+
+
+def co(c: str) -> str:
+    return f"coalesce({c}, '')"
+
+
 def _department() -> str:
     n = f"lower({_trim('department')})"
     c = _trim(rf"regexp_replace(regexp_replace({n}, '\b(dept|dept\.|department)\b', '', 'g'), '\b(records?|record)\b', '', 'g')")
@@ -305,7 +313,37 @@ def oracle_sql() -> dict[str, str]:
     exact = lambda p: _trim(_expand(_full(p)))
     norm_a, norm_b = _match_norm("a"), _match_norm("b")
     med = "|".join(w.replace(".", r"\.") for w in blocks.MEDICAL)
-    return {
+    same = lambda cols, more="": f"select block_id, ref_ord, {cols} from ({_PAIRS}){more}"
+    an, bn = oracle.clean("a"), oracle.clean("b")
+    full = lambda p: exact(p)
+    seven = " + ".join(f"cast(coalesce(b.{c}, '') <> coalesce(l.{c}, '') as integer)" for c in match.DIFFED)
+    low = lambda c: f"lower(coalesce({c}, ''))"
+    both = lambda p: f"array_to_string(list_filter([coalesce({p}.address1, ''), coalesce({p}.address2, '')], lambda x: x <> ''), ', ')"
+    quoted = lambda label, x, y: f"'{label} differs: \"' || {x} || '\" vs \"' || {y} || '\"'"
+    five = lambda p: f"substr(coalesce({p}.postal_code, ''), 1, 5)"
+    differences = (
+        f"list_filter([case when {low('b.name')} <> {low('l.name')} then {quoted('name', co('b.name'), co('l.name'))} end, case when lower({both('b')}) <> lower({both('l')}) then {quoted('address', both('b'), both('l'))} end,"
+        f" case when {low('b.city')} <> {low('l.city')} or {co('b.state')} <> {co('l.state')} then 'city/state: ' || {co('b.city')} || ', ' || {co('b.state')} || ' vs ' || {co('l.city')} || ', ' || {co('l.state')} end,"
+        f" case when {five('b')} <> {five('l')} then 'zip: ' || {co('b.postal_code')} || ' vs ' || {co('l.postal_code')} end], lambda x: x is not null)"
+    )
+    said = (
+        f"case when h is null then 'No candidates in blocking set; new location.' when status = 'EXACT' then 'Exact match found.' when status = 'CLOSE' and (h.sn between 85 and 92 or h.sa between 85 and 92)"
+        f" then case when len({differences}) = 0 then 'Close match.' else 'Close match with minor differences: ' || array_to_string({differences}, '; ') end when status = 'CLOSE' then 'Close match based on thresholds.' else 'No close candidate; new location.' end"
+    )
+    key = _key
+    base = f"coalesce(nullif(l.search_key, ''), concat_ws('|', {', '.join(key(f'l.{c}') for c in ('name', 'address1', 'city', 'state'))}, {key('substr(coalesce(l.postal_code, ' + chr(39) * 2 + '), 1, 5)')}))"
+    fuzz = {
+        "normalized_blocks": oracle.normalized_blocks(),
+        "warning_keys": oracle.warning_keys(),
+        "document_pages": oracle.document_pages(),
+        "candidate_blocks": oracle.candidate_blocks(),
+        "name_ratios": f"select block_id, ref_ord, ratio, token_sort, token_set from (select *, {oracle.ratio('x', 'y')} ratio, {oracle.ratio('xs', 'ys')} token_sort from (select *, {an} x, {bn} y, {oracle.sorted_words('a')} xs, {oracle.sorted_words('b')} ys from ({_PAIRS}))) join ({oracle.set_ratios(f'select distinct a, b from ({_PAIRS})')}) using (a, b)",
+        "doctor_matches": same(f"coalesce({oracle.doctor_record('b')} <> '' and list_contains(list_transform(list_filter(list_transform(string_split({_trim('a')}, ';'), lambda t: {_trim('t')}), lambda t: t <> ''), lambda n: lower({oracle.person('n')})), {oracle.doctor_record('b')}), false) doctor"),
+        "reconciled": f"{oracle.best(full)} select doc_id, status, l.id mr8_id, coalesce(h.sn, 0) as name, coalesce(h.sa, 0) address, h.sd department, case when h is null then 0 else {seven} end n_diffs, {said} explanation from decided join parsed_blocks b on b.block_id = doc_id left join locations l on l.ref_ord = h.ref_ord",
+        "reconciled_names": f"{oracle.best(full, one_name=True)} select doc_id, status, l.id mr8_id, case when l.ref_ord is not null and status in ('EXACT', 'CLOSE') then {base} else 'RESEARCH REQUIRED' end search_key from decided left join locations l on l.ref_ord = h.ref_ord",
+        "top_candidates": f"with {oracle.matching(full).replace(_TIER2, '')} select * from (select doc_id, cast(row_number() over (partition by doc_id order by sn + sa desc, ref_ord) as integer) as rank, ref_ord, sn name_score, sa address_score, sn + sa combined from scored) where rank <= 5",
+    }
+    return fuzz | {
         "p4_found": f"with l as (select ref_ord r, latitude y, longitude x, floor(latitude / 0.002) cy from locations where {_USABLE}), n as (select r, y, x, cy + d as cy from l, (select unnest([-1, 0, 1]) d))"
         f" select a.r ref_ord_a, b.r ref_ord_b from l a join n b on a.cy = b.cy and a.r < b.r where abs(a.y - b.y) < 0.0019 and {_HAV.format(y1='a.y', x1='a.x', y2='b.y', x2='b.x')} <= 200",
         "token_orders": f"select ref_ord, array_to_string(list_sort({_words(_lname := 'lower(coalesce(name, ' + chr(39) * 2 + '))')}), ' ') sorted_name, array_to_string(list_sort(list_distinct({_words(_lname)})), ' ') set_name from locations",
