@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from waypost.operators import nearby
 
 
@@ -33,10 +35,30 @@ def test_ear_clipping():
     assert nearby.ear_clip([(0, 0), (1, 1)]) == [] and nearby.ear_clip([(0, 0), (1, 1), (2, 2)]) == []
 
 
+def test_crossing_rings_are_refused():
+    with pytest.raises(ValueError):
+        nearby.ear_clip([(0, 0), (2, 2), (2, 0), (0, 2), (5, 1)])
+    with pytest.raises(ValueError):
+        nearby.ear_clip([(0, 0), (4, 4), (4, 0), (0, 4), (-1, 2)])
+
+
+def test_big_rings():
+    r = random.Random(1)
+    star = [(math.cos(t) * q, math.sin(t) * q) for i in range(1500) for t in [2 * math.pi * i / 1500] for q in [1 + r.random()]]
+    want = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(star, star[1:] + star[:1])) / 2
+    assert abs(sum(map(area, nearby.ear_clip(star))) - want) < 1e-6
+
+
 def test_regions(spark):
     ring = lambda *p: [dict(lon=float(x), lat=float(y)) for x, y in p]
-    regions = spark.createDataFrame([(1, ring((1, 1), (3, 1), (3, 3), (1, 3))), (2, ring((3, 1), (5, 1), (5, 3), (4, 2), (3, 3))), (3, None)], "region_id int, ring array<struct<lon:double,lat:double>>")
-    pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 2.0, 3.0), (3, 2.5, 4.0), (4, 1.5, 4.5), (5, None, 1.0), (6, 3.0, 3.0)], "ref_ord int, latitude double, longitude double")
-    got = {r["ref_ord"]: r["region_id"] for r in nearby.regions_of(pts, regions).collect()}
-    assert got == {1: 1, 2: 1, 4: 2, 6: 1}  # a shared border belongs to the least region, once
-    assert nearby.regions_of(pts, regions.limit(0)).count() == 0
+    square = lambda x, y, n: ring((x, y), (x + n, y), (x + n, y + n), (x, y + n))
+    rows = [(1, [[square(1, 1, 2)]]), (2, [[ring((3, 1), (5, 1), (5, 3), (4, 2), (3, 3))]]), (3, None), (4, [[square(11, 11, 6), square(12, 12, 2)], [square(21, 11, 2)]]), (5, [[square(12, 12, 5)]])]
+    regions = spark.createDataFrame(rows, f"region_id int, rings {nearby.RINGS}")
+    spots = [(1, 2.0, 2.0), (2, 2.0, 3.0), (3, 2.5, 4.0), (4, 1.5, 4.5), (5, None, 1.0), (6, 3.0, 3.0), (7, 13.0, 13.0), (8, 12.0, 13.0), (9, 16.0, 16.0), (10, 12.0, 22.0), (11, 11.5, 11.5), (12, 2.0, 4.0)]
+    pts = spark.createDataFrame(spots, "ref_ord int, latitude double, longitude double")
+    got = {tuple(r) for r in nearby.regions_of(pts, regions).collect()}
+    # a shared border belongs to the least region, once; holes are outside, their borders inside; overlaps count
+    assert got == {(1, 1), (2, 1), (4, 2), (6, 1), (7, 5), (8, 4), (9, 4), (9, 5), (10, 4), (11, 4), (12, 2)}
+    assert nearby.regions_of(pts, regions.limit(0)).count() == 0 == nearby.regions_of(pts.limit(0), regions).count()
+    one = spark.createDataFrame([(1, rows[0][1][0][0])], "region_id int, ring array<struct<lon:double,lat:double>>")
+    assert {tuple(r) for r in nearby.regions_of(pts, one, rings="ring").collect()} == {(1, 1), (2, 1), (6, 1)}

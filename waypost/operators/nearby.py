@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,41 +29,57 @@ def _cross(o: Point, a: Point, b: Point) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-def ear_clip(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
-    """Counter-clockwise triangles that cover a simple polygon; repeated and collinear corners are skipped. Degenerate rings give []."""
+def _corners(ring: list[Point]) -> list[Point]:
+    """The corners of a ring, counter-clockwise, without repeated ones; [] where it has no area."""
     pts: list[Point] = []
     for p in ring:
         if not pts or p != pts[-1]:
             pts.append(p)
     if len(pts) > 1 and pts[0] == pts[-1]:
         pts.pop()
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
+    return pts if area > 0 else pts[::-1] if area < 0 else []
+
+
+def ear_clip(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
+    """Counter-clockwise triangles that cover a simple polygon; repeated and collinear corners are skipped. Degenerate rings give [].
+
+    A ring that crosses itself has no such triangles and is refused. Each corner is tested against all others at once, so the work
+    grows with the square of the corners.
+    """
+    pts = _corners(ring)
     if len(pts) < 3:
         return []
-    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
-    if area < 0:
-        pts.reverse()
-    out = []
-    while len(pts) > 3:
-        n, clipped = len(pts), False
-        for i in range(n):
-            a, b, c = pts[i - 1], pts[i], pts[(i + 1) % n]
-            turn = _cross(a, b, c)
-            if turn < 0:
+    x, y = (np.array(c, dtype=float) for c in zip(*pts))
+    left, whole = list(range(len(pts))), sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))
+    out, i, idle = [], 0, 0
+    while len(left) > 3:
+        if idle > len(left):
+            raise ValueError("a ring that crosses itself can't be triangulated")
+        i %= len(left)
+        ia, ib, ic = left[i - 1], left[i], left[(i + 1) % len(left)]
+        a, b, c = pts[ia], pts[ib], pts[ic]
+        turn = _cross(a, b, c)
+        if turn > 0:
+            rest = np.array(left)
+            px, py = x[rest], y[rest]
+            side = lambda o, e: (e[0] - o[0]) * (py - o[1]) - (e[1] - o[1]) * (px - o[0])
+            own = ((px == a[0]) & (py == a[1])) | ((px == b[0]) & (py == b[1])) | ((px == c[0]) & (py == c[1]))
+            if ((side(a, b) >= 0) & (side(b, c) >= 0) & (side(c, a) >= 0) & ~own).any():
+                i, idle = i + 1, idle + 1
                 continue
-            if turn == 0:
-                pts.pop(i)
-                clipped = True
-                break
-            inside = (p for p in pts if p not in (a, b, c) and _cross(a, b, p) >= 0 and _cross(b, c, p) >= 0 and _cross(c, a, p) >= 0)
-            if next(inside, None) is None:
-                out.append((a, b, c))
-                pts.pop(i)
-                clipped = True
-                break
-        if not clipped:  # a ring that crosses itself
-            return out
-    if _cross(*pts) > 0:
-        out.append((pts[0], pts[1], pts[2]))
+            out.append((a, b, c))
+        elif turn < 0:
+            i, idle = i + 1, idle + 1
+            continue
+        left.pop(i)
+        i, idle = i - 1 if i else 0, 0
+    a, b, c = (pts[k] for k in left)
+    if _cross(a, b, c) > 0:
+        out.append((a, b, c))
+    covered = sum(_cross(*t) for t in out)
+    if abs(covered - whole) > 1e-9 * max(1.0, abs(whole)):
+        raise ValueError("a ring that crosses itself can't be triangulated")
     return out
 
 
@@ -148,34 +165,55 @@ def points_within(df: DataFrame, metres: float, key: str = "ref_ord", lat: str =
     return found.select(F.col("a").alias(f"{key}_a"), F.col("k").alias(f"{key}_b"))
 
 
-def triangulated(regions: DataFrame, key: str = "region_id", ring: str = "ring") -> DataFrame:
-    """(key, t, x0, y0, x1, y1, x2, y2): the triangles of each polygon; ring is an array of (longitude, latitude) structs.
+RINGS = "array<array<array<struct<lon:double,lat:double>>>>"
+
 
-    Rings may run either way and may be closed; null rings and those without area have no triangles.
+def triangulated(regions: DataFrame, key: str = "region_id", rings: str = "rings") -> DataFrame:
+    """(key, part, hole, t, x0, y0, x1, y1, x2, y2, e0, e1, e2): the triangles of each polygon's rings.
+
+    rings: for each part of a region its outer ring, then its holes, as arrays of (longitude, latitude) structs (RINGS); an array of
+    structs alone is one ring. hole: the number of the hole, 0 for the outer ring. e0: whether the edge from corner 0 to 1 lies on the
+    ring, and so on. Rings may run either way and may be closed; null rings and those without area have no triangles; a ring
+    that crosses itself raises ValueError.
     """
+    depth = regions.schema[rings].dataType.simpleString().split("struct")[0].count("array<")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [
-                (k, n, *[c for p in t for c in p])
-                for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                if r
-                for n, t in enumerate(ear_clip([tuple(p.values()) for p in r if p and None not in p.values()]))
-            ]
-            cols = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["key", "t", "x0", "y0", "x1", "y1", "x2", "y2"])
+            rows = []
+            for k, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for n, part in enumerate(parts if depth == 3 else [parts if depth == 2 else [parts]]):
+                    for hole, ring in enumerate(part or []):
+                        corners = [tuple(p.values()) for p in ring or [] if p and None not in p.values()]
+                        around = _corners(corners)
+                        edges = set(zip(around, around[1:] + around[:1]))
+                        for t, tri in enumerate(ear_clip(corners)):
+                            on = [_on_ring(p, q, edges) for p, q in zip(tri, tri[1:] + tri[:1])]
+                            rows.append((k, n, hole, t, *[c for p in tri for c in p], *on))
+            cols = list(zip(*rows)) or [()] * 13
+            types = [b.schema.field(0).type, *[pa.int32()] * 3, *[pa.float64()] * 6, *[pa.bool_()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     kind = regions.schema[key].dataType.simpleString()
-    schema = f"key {kind}, t int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xy")
-    return regions.select(key, ring).mapInArrow(batches, schema).withColumnRenamed("key", key)
+    schema = f"key {kind}, part int, hole int, t int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xy") + ", e0 boolean, e1 boolean, e2 boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return regions.filter(F.col(rings).isNotNull()).select(key, rings).mapInArrow(batches, schema).withColumnRenamed("key", key)
+
+
+def _on_ring(p: Point, q: Point, edges: set[tuple[Point, Point]]) -> bool:
+    """Whether the edge from p to q lies on the ring: it is an edge, or holds collinear corners that were skipped."""
+    if (p, q) in edges:
+        return True
+    return any(a == p and _cross(p, q, b) == 0 and (b[0] - p[0]) * (q[0] - p[0]) + (b[1] - p[1]) * (q[1] - p[1]) > 0 for a, b in edges)
 
 
-def regions_of(points: DataFrame, regions: DataFrame, key: str = "ref_ord", lat: str = "latitude", lon: str = "longitude", region: str = "region_id", ring: str = "ring") -> DataFrame:
-    """(key, region): the region that contains each point; a point on a border shared by several belongs to the least region id.
+def regions_of(points: DataFrame, regions: DataFrame, key: str = "ref_ord", lat: str = "latitude", lon: str = "longitude", region: str = "region_id", rings: str = "rings") -> DataFrame:
+    """(key, region): the regions that contain each point. Regions that overlap all count; a point on a border shared by several belongs to the least of them, once.
 
-    Points in no region and without a usable position don't appear. Borders count as inside.
+    A point in a hole isn't contained, one on a hole's border is. Points in no region and without a usable position don't appear. key
+    and region must be unique; see triangulated() for rings.
     """
-    tri = triangulated(regions, region, ring)
+    tri = triangulated(regions, region, rings)
     extent = F.greatest(F.greatest("x0", "x1", "x2") - F.least("x0", "x1", "x2"), F.greatest("y0", "y1", "y2") - F.least("y0", "y1", "y2"))
     tri = tri.withColumn("level", level_for(extent))
     levels = [r["level"] for r in tri.select("level").distinct().collect()]  # at most DEEPEST + 1
@@ -185,5 +223,12 @@ def regions_of(points: DataFrame, regions: DataFrame, key: str = "ref_ord", lat:
     pts = pts.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
     pts = pts.withColumn("cx", _cell(F.col("_x"), -180, F.col("level"))).withColumn("cy", _cell(F.col("_y"), -90, F.col("level")))
     side = lambda i, j: (F.col(f"x{j}") - F.col(f"x{i}")) * (F.col("_y") - F.col(f"y{i}")) - (F.col(f"y{j}") - F.col(f"y{i}")) * (F.col("_x") - F.col(f"x{i}"))
-    found = tri.join(pts, ["level", "cx", "cy"]).filter((side(0, 1) >= 0) & (side(1, 2) >= 0) & (side(2, 0) >= 0))
-    return found.groupBy(F.col("_k").alias(key)).agg(F.min(region).alias(region))
+    hit = tri.join(pts, ["level", "cx", "cy"]).filter((side(0, 1) >= 0) & (side(1, 2) >= 0) & (side(2, 0) >= 0))
+    edge = ((side(0, 1) == 0) & F.col("e0")) | ((side(1, 2) == 0) & F.col("e1")) | ((side(2, 0) == 0) & F.col("e2"))
+    # a triangle's edge inside its ring is no border
+    rings_ = hit.groupBy("_k", region, "part", "hole").agg(F.max(edge).alias("edge"))
+    parts = rings_.groupBy("_k", region, "part").agg(F.max(F.col("hole") == 0).alias("outer"), F.max((F.col("hole") > 0) & ~F.col("edge")).alias("lost"), F.max("edge").alias("edge"))
+    found = parts.filter("outer and not lost").groupBy("_k", region).agg(F.min("edge").alias("edge"))
+    inside = found.filter("not edge").select("_k", region)
+    border = found.filter("edge").groupBy("_k").agg(F.min(region).alias(region))
+    return inside.unionByName(border).select(F.col("_k").alias(key), region)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from waypost import oracle
 from waypost.functions import fuzzy, geo
 from waypost.functions import text as T
-from waypost.operators import blocks, layout, match, nearby, views
+from waypost import sinks
+from waypost.operators import answers, blocks, layout, match, nearby, views
+from waypost.sources.locations import from_rows
 from waypost.session import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,24 @@ def p4_found(s, d):
     return nearby.points_within(_locations(s, d), NEAR_M)
 
 
+SHIFT = 3.7e-7  # keeps borders off the stored coordinates, so that rounding can't decide
+L_SHAPE, HOLE, ISLAND = ((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)), ((0.1, 0.1), (0.3, 0.1), (0.3, 0.3), (0.1, 0.3)), ((0.6, 0.6), (0.9, 0.6), (0.9, 0.9), (0.6, 0.9))
+
+
+def p4_regions(s, d):
+    """The regions of each located row: in each degree that has rows, an L with a hole and an island; over them, squares of five degrees."""
+    at = _locations(s, d).filter(nearby.usable(F.col("latitude"), F.col("longitude")))
+
+    def made(size: float, sign: int, *parts: tuple) -> DataFrame:
+        cells = at.select(*[F.floor((F.col(c) - SHIFT) / size).alias(n) for c, n in (("longitude", "cx"), ("latitude", "cy"))]).distinct()
+        corner = lambda x, y: F.struct(((F.col("cx") + x) * size + SHIFT).alias("lon"), ((F.col("cy") + y) * size + SHIFT).alias("lat"))
+        rings = F.array(*[F.array(*[F.array(*[corner(x, y) for x, y in ring]) for ring in part]) for part in parts])
+        return cells.select((sign * ((F.col("cy") + 1000) * 10000 + F.col("cx") + 1000)).alias("region_id"), rings.alias("rings"))
+
+    regions = made(1.0, 1, (L_SHAPE, HOLE), (ISLAND,)).unionByName(made(5.0, -1, (((0, 0), (1, 0), (1, 1), (0, 1)),)))
+    return nearby.regions_of(at, regions)
+
+
 def token_orders(s, d):
     return _locations(s, d).select("ref_ord", T.token_sort(F.col("name")).alias("sorted_name"), T.token_set(F.col("name")).alias("set_name"))
 
@@ -162,6 +182,55 @@ def top_candidates(s, d):
     return match.top_candidates(_blocks(s, d), _locations(s, d))
 
 
+def exact_flags(s, d):
+    r = answers.exactness(match.reconciled(_blocks(s, d), _locations(s, d)))
+    return r.select("doc_id", "name_exact", "address_exact", match.found(F.col("status"), "lookup").alias("found"))
+
+
+def document_answers(s, d):
+    return answers.reconciled_documents(table(s, d, "documents"), from_rows(table(s, d, "locations"), "ref_ord"), "file")
+
+
+def agreeing_departments(s, d):
+    b = _blocks(s, d).select("block_id", T.normalize_department(F.col("department")).alias("x"), "address1", "city").filter("length(address1) > 9 and length(city) > 1")
+    r = _locations(s, d).select("ref_ord", T.normalize_department(F.col("department")).alias("y"), "address1", "city")
+    return b.join(r, ["address1", "city"]).select("block_id", "ref_ord", match.departments_match(F.col("x"), F.col("y")).alias("agree"))
+
+
+def facilities(s, d):
+    return _locations(s, d).select("ref_ord", T.is_facility(F.col("name")).alias("facility"), views.has_name().alias("has_name"))
+
+
+def address_lines(s, d):
+    whole = F.concat_ws(", ", "address1", "address2")
+    plain, compat = T.split_address_line(whole), T.split_address_line(F.coalesce("address1", F.lit("")), compat=True)
+    return _locations(s, d).select("ref_ord", plain["address1"].alias("line"), plain["address2"].alias("unit"), compat["address1"].alias("compat_line"), compat["address2"].alias("compat_unit"))
+
+
+def projected_locations(s, d):
+    """Rows under other column names, brought to the location schema."""
+    df = _locations(s, d).select("ref_ord", F.col("id").alias("Loc No."), F.col("name").alias("Location Name"), F.col("address1").alias("Street"), F.col("city").alias("City/Town"), F.col("state").alias("State/Province"), F.col("postal_code").alias("Zip"), F.col("department").alias("Department"))
+    return from_rows(df, "ref_ord").select("ref_ord", "id", "name", "address1", "city", "state", "postal_code", "country", "department", "search_key")
+
+
+def new_items(s, d):
+    docs = _blocks(s, d).select(F.lit("NEW").alias("status"), F.col("block_id").alias("ord"), F.struct("name", "address1", "address2", "city", "state", "postal_code").alias("doc"))
+    return sinks.new_items(docs)
+
+
+def formatted_dates(s, d):
+    return table(s, d, "emails").filter("sent_at is not null").select("email_id", T.format_mail_date(F.col("sent_at")).alias("shown"))
+
+
+def block_heads(s, d):
+    return _blocks(s, d).select("block_id", F.array_join(F.slice(T.lines(F.col("block_text")), 1, 3), " ").alias("head"))
+
+
+def first_names(s, d):
+    n = T.first_last(F.col("name"))
+    return _locations(s, d).select("ref_ord", n["first"].alias("first"), n["last"].alias("last"))
+
+
 def fetched_ids(s, d):
     ids = _blocks(s, d).select(F.col("block_id").alias("ord"), (F.lit(100000) + F.col("block_id")).cast("string").alias("id"))
     return match.fetch_ids(ids, _locations(s, d)).select("ord", "id", "rec.name")
@@ -212,7 +281,7 @@ def mail_texts(s, d):
 
 
 ALL: tuple[Query, ...] = (
-    p4_found, token_orders, expanded_addresses, canonical_keys, states, redacted_addresses, departments, department_lines, units, town_lines, single_names, stats_by_state,
+    p4_found, p4_regions, exact_flags, document_answers, agreeing_departments, facilities, address_lines, projected_locations, new_items, formatted_dates, block_heads, first_names, token_orders, expanded_addresses, canonical_keys, states, redacted_addresses, departments, department_lines, units, town_lines, single_names, stats_by_state,
     stats_by_state_located, stats_top_cities, stats_coverage, state_and_city, first_rows, distances, *map(_blocking, ("zip", "citystate", "fallback", "sql")), exact_addresses,
     line_similarities, name_ratios, exact_names, doctor_matches, normalized_blocks, reconciled, reconciled_names, top_candidates, fetched_ids, warning_keys, medical_blocks,
     distinct_blocks, first_blocks, candidate_blocks, structured_blocks, numbered_blocks, document_pages, note_placements, mail_texts,
@@ -309,7 +378,6 @@ def oracle_sql() -> dict[str, str]:
     long_, short = r"^(.+?),\s*([A-Za-z]+(?:\s+[A-Za-z]+)*)\s+(\d{5})(?:-\d{4})?$", r"^(.+?),\s*([A-Za-z]{2})\s+(\d{5})(?:-\d{4})?$"
     unit = r"(?i)^(.*?)(?:\b(?:suite|ste|unit)\b\s*([a-z0-9-]+)|#\s*([a-z0-9-]+))(.*)$"
     a1 = "coalesce(address1, '')"
-    kw = " or ".join(f"lower(department) like '%{w}%'" for w in T.DEPARTMENT_WORDS)
     exact = lambda p: _trim(_expand(_full(p)))
     norm_a, norm_b = _match_norm("a"), _match_norm("b")
     med = "|".join(w.replace(".", r"\.") for w in blocks.MEDICAL)
@@ -332,7 +400,35 @@ def oracle_sql() -> dict[str, str]:
     )
     key = _key
     base = f"coalesce(nullif(l.search_key, ''), concat_ws('|', {', '.join(key(f'l.{c}') for c in ('name', 'address1', 'city', 'state'))}, {key('substr(coalesce(l.postal_code, ' + chr(39) * 2 + '), 1, 5)')}))"
+    fx, fy = f"(longitude - {SHIFT} - floor(longitude - {SHIFT}))", f"(latitude - {SHIFT} - floor(latitude - {SHIFT}))"
+    cell = lambda n: f"cast((floor((latitude - {SHIFT}) / {n}) + 1000) * 10000 + floor((longitude - {SHIFT}) / {n}) + 1000 as bigint)"
+    inner = lambda lo, hi: f"({fx} between {lo} and {hi} and {fy} between {lo} and {hi})"
+    whole = "concat_ws(', ', address1, address2)"
+    comma, inline, loose = r"^([^,]*),\s*(.*(?i:suite|ste|unit|#).*)$", r"(?i)^(.*?)\s*(?:\b(suite|ste|unit)\b|#)\s*(.+)$", r"(?i)^(.*?)\s*(?:(suite|ste|unit)|#)\s*(.+)$"
+
+    def split_line(x: str, p: str) -> tuple[str, str]:
+        t = _trim(x)
+        unit = f"case when regexp_extract({t}, '{p}', 2) = '' then '#' else regexp_extract({t}, '{p}', 2) || ' ' end || regexp_extract({t}, '{p}', 3)"
+        one = f"case when regexp_matches({t}, '{comma}') then trim(regexp_extract({t}, '{comma}', 1)) when regexp_matches({t}, '{p}') then trim(regexp_extract({t}, '{p}', 1)) else {t} end"
+        return one, f"case when regexp_matches({t}, '{comma}') then trim(regexp_extract({t}, '{comma}', 2)) when regexp_matches({t}, '{p}') then trim({unit}) end"
+
+    plain, compat = split_line(whole, inline), split_line("address1", loose)
+    st_of = f"case when length({_trim('state')}) = 2 then upper({_trim('state')}) else coalesce({st}[lower({_trim('state')})], upper({_trim('state')})) end"
+    new_key = "concat_ws('|', " + ", ".join(_key(c) for c in ("name", "address1", "city", "state", "substr(coalesce(postal_code, ''), 1, 5)")) + ")"
+    depts = f"select block_id, ref_ord, {oracle.department('x')} dx, {oracle.department('y')} dy from (select b.block_id, l.ref_ord, b.department x, l.department y from parsed_blocks b join locations l on b.address1 = l.address1 and b.city = l.city where length(b.address1) > 9 and length(b.city) > 1)"
+    heads = oracle.LINES.format("block_text")
     fuzz = {
+        "p4_regions": f"select ref_ord, {cell('1.0')} region_id from locations where {_USABLE} and ((({fx} < 0.5 or {fy} < 0.5) and not {inner(0.1, 0.3)}) or {inner(0.6, 0.9)}) union all select ref_ord, -{cell('5.0')} from locations where {_USABLE}",
+        "exact_flags": f"{oracle.best(full)} select doc_id, coalesce(l.ref_ord is not null and {low('b.name')} <> '' and lower({_trim('b.name')}) <> '' and lower({_trim('l.name')}) <> '' and case when len({oracle.names_of('b.name')}) > 1 then list_contains(list_transform({oracle.names_of('b.name')}, lambda n: lower(n)), lower({_trim('l.name')})) else lower({_trim('b.name')}) = lower({_trim('l.name')}) end, false) name_exact,"
+        f" coalesce(l.ref_ord is not null and {exact('b.')} <> '' and {exact('b.')} = {exact('l.')}, false) address_exact, status = 'EXACT' as found from decided join parsed_blocks b on b.block_id = doc_id left join locations l on l.ref_ord = h.ref_ord",
+        "agreeing_departments": f"select block_id, ref_ord, case when dx = '' and dy = '' then true when dx = '' or dy = '' then false else dx = dy or {oracle.ratio('sx', 'sy')} >= 85 end agree from (select *, {oracle.sorted_words('dx')} sx, {oracle.sorted_words('dy')} sy from ({depts}))",
+        "facilities": f"select ref_ord, not regexp_matches(lower({_trim('name')}), '{T.DOCTOR}') facility, {_trim('name')} <> '' has_name from locations",
+        "address_lines": f"select ref_ord, {plain[0]} line, {plain[1]} unit, {compat[0]} compat_line, {compat[1]} compat_unit from locations",
+        "projected_locations": f"select ref_ord, id, coalesce(name, '') as name, coalesce(address1, '') address1, coalesce(city, '') city, {st_of} state, coalesce(postal_code, '') postal_code, 'US' country, nullif({_trim('department')}, '') department, cast(null as varchar) search_key from locations",
+        "new_items": f"select coalesce(name, '') as name, coalesce(address1, '') address1, coalesce(address2, '') address2, coalesce(city, '') city, coalesce(state, '') state, coalesce(postal_code, '') postal_code, 'US' country, k search_key from (select *, {new_key} k from parsed_blocks) qualify row_number() over (partition by k order by block_id) = 1",
+        "formatted_dates": "select email_id, strftime(sent_at, '%a, %b %-d, %Y, %I:%M %p') shown from emails where sent_at is not null",
+        "block_heads": f"select block_id, array_to_string({heads}[1:3], ' ') head from parsed_blocks",
+        "first_names": f"select ref_ord, {oracle.first_last('name', 1)} as first, {oracle.first_last('name', -1)} as last from locations",
         "normalized_blocks": oracle.normalized_blocks(),
         "warning_keys": oracle.warning_keys(),
         "document_pages": oracle.document_pages(),
@@ -352,7 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "states": f"select ref_ord, case when length({_trim('state')}) = 2 then upper({_trim('state')}) else coalesce({st}[lower({_trim('state')})], upper({_trim('state')})) end state from locations",
         "redacted_addresses": rf"select ref_ord, 'hash:' || substr(sha256(lower({_trim('address1')})), 1, 12) || '|zip:' || regexp_extract(coalesce(postal_code, ''), '^(\d{{5}})', 1) summary from locations",
         "departments": _department(),
-        "department_lines": rf"select ref_ord, coalesce(({_trim('department')}) <> '' and not regexp_matches({_trim('department')}, '^\d+\.\s+[A-Z]') and ({kw}) and not regexp_matches(department, '{T.STREET_LINE}'), false) is_department,"
+        "department_lines": f"select ref_ord, {oracle.department_of(co('department'))} is not null is_department,"
         r" regexp_matches(coalesce(address2, ''), '(?i)\b(suite|ste|unit|#)\b\s*\w+') has_unit from locations",
         "units": f"select ref_ord, case when regexp_matches({a1}, '{unit}') then "
         + _trim(rf"regexp_replace(regexp_replace({_trim(f'regexp_extract({a1}, {chr(39)}{unit}{chr(39)}, 1) || regexp_extract({a1}, {chr(39)}{unit}{chr(39)}, 4)')}, ',$', ''), '\s+', ' ', 'g')")
