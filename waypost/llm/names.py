@@ -18,7 +18,7 @@ piece, so both loops end; neither has a bound of rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -118,8 +118,9 @@ def entities(names: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.collect_set("raw").alias("raws"), F.array_remove(F.collect_set("cred"), "").alias("creds"), F.array_remove(F.collect_set("mid"), "").alias("mids")
     )
     profiles, links, richer = staged(profiles, "merged"), None, None
+    alike = staged(_alike(profiles), "alike")
     while True:
-        found = staged(_merges(profiles, richer), "found")
+        found = staged(_merges(profiles, alike, richer), "found")
         if found.isEmpty():
             break
         richer = found.select(F.col("into").alias("entity")).distinct()
@@ -131,31 +132,30 @@ def entities(names: DataFrame) -> DataFrame:
     return out.join(links, "entity", "left").select("name", "kind", F.coalesce("into", "entity").alias("entity"))
 
 
-def _merges(profiles: DataFrame, richer: DataFrame | None = None) -> DataFrame:
+def _alike(profiles: DataFrame) -> DataFrame:
+    """(kind, a_raw, b_raw): words of whole profiles, and the spellings of other words that are near them.
+
+    Worked out on distinct words; what is already corrected doesn't look, so the pairs don't grow with the square of a word's misspellings.
+    """
+    whole = profiles.filter("whole")
+    words = whole.select("kind", F.col("word").alias("a_raw")).distinct()
+    spelled = whole.select("kind", "word", F.explode(F.array_union("raws", F.array("word"))).alias("b_raw")).distinct()
+    x = words.withColumn("k", F.explode(seeking_keys(F.col("a_raw")))).withColumn("k", F.xxhash64("kind", "k")).alias("x")
+    y = spelled.withColumn("k", F.explode(sought_keys(F.col("b_raw")))).withColumn("k", F.xxhash64("kind", "k")).alias("y")
+    near = x.join(y, "k").filter((F.col("x.kind") == F.col("y.kind")) & (F.col("a_raw") != F.col("word")) & close(F.col("a_raw"), F.col("b_raw")))
+    return near.select("x.kind", "a_raw", "b_raw").distinct()
+
+
+def _merges(profiles: DataFrame, alike: DataFrame, richer: DataFrame | None = None) -> DataFrame:
     """(entity, into): merges of this round; into is never itself merged in the same round.
 
-    The words of profiles look for near spellings among all spellings of the others; what is already corrected doesn't look again, so
-    the pairs don't grow with the square of a word's misspellings. richer: the entities that merged in the round before. Only pairs
-    with one of them are new then.
+    alike: see _alike; it holds for all rounds, as merging makes no new spellings. richer: the entities that merged in the round before.
     """
-    whole = profiles.filter("whole").select("entity", "word", "n", "raws", F.concat_ws("|", "kind", "own", "spec").alias("block"))
     part, full = profiles.filter("not whole"), profiles.filter("whole")
-
-    def keyed(x: DataFrame, raw: Column, keys: Callable[[Column], Column]) -> DataFrame:
-        x = x.select("entity", "block", "n", raw.alias("raw"))
-        return x.withColumn("k", F.explode(keys(F.col("raw")))).withColumn("k", F.xxhash64("block", "k"))
-
-    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = keyed(x, F.col("word"), seeking_keys), keyed(y, F.explode(F.array_union("raws", F.array("word"))), sought_keys)
-        two = x.alias("a").join(y.alias("b"), "k").filter("a.entity <> b.entity and a.block = b.block")
-        return two.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("entity", "raw", "n")]).filter(close(F.col("a_raw"), F.col("b_raw")))
-
-    if richer is None:
-        close_by = pairs(whole, whole)
-    else:
-        new = staged(whole.join(richer, "entity", "left_semi"), "new")
-        beside = staged(whole.join(new.select("block").distinct(), "block", "left_semi").select(whole.columns), "beside")
-        close_by = pairs(beside, new).unionByName(pairs(new, beside))
+    ours = full.select(F.col("entity").alias("a_entity"), "kind", F.col("word").alias("a_raw"), "own", "spec", F.col("n").alias("a_n"))
+    theirs = full.select(F.col("entity").alias("b_entity"), "kind", F.explode(F.array_union("raws", F.array("word"))).alias("b_raw"), "own", "spec", F.col("n").alias("b_n"))
+    close_by = ours.join(theirs.join(alike, ["kind", "b_raw"]), ["kind", "a_raw", "own", "spec"]).filter("a_entity <> b_entity")
+    if richer is not None:
         again = full.join(richer, "entity", "left_semi").select("kind", "word").distinct()  # only there the one that fits may be another now
         part, full = (x.join(again, ["kind", "word"], "left_semi") for x in (part, full))
     smaller = F.struct("a_n", "a_entity") < F.struct("b_n", "b_entity")
