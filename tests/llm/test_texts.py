@@ -1,6 +1,12 @@
 import base64
+import contextlib
+import gc
 import random
+import threading
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -11,6 +17,7 @@ from waypost.llm import tokens, truncation
 from waypost.llm.email_layout import newly_written, new_lines, parse_layout
 from waypost.llm.packing import best_fit, packed, plan, reduce_by_dominance
 from waypost.llm.pii import find_pii, normalise, pii_spans, redact, redacted
+from waypost.session import shared_folder
 
 
 @pytest.mark.parametrize(
@@ -262,3 +269,63 @@ def test_a_hot_group_of_copies_makes_no_pairs_of_copies(spark):
     df = spark.createDataFrame([(i, f"{words} x{i}.") for i in range(400)] + [(1000, words + " more of this"), (1001, words + " more of")], "doc_id long, text string").withColumn("source", F.lit("a"))
     found = {x["doc_id"]: x["found"] for x in truncation.judged(df).filter("found is not null").collect()}
     assert found[1001] == "cut" and set(found) <= {1000, 1001}
+
+
+def test_near_copies_take_little_disk(spark, tmp_path):
+    """Originals and copies cut in the middle, all of which meet: the files at any one time stay below 4 times the input."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(900):
+        words = [r.choice(vocabulary) for _ in range(900)]
+        rows += [(f"o{i}", " ".join(words) + "."), (f"c{i}", " ".join(words[: r.randint(330, 600)]))]
+    spark.createDataFrame(rows, "doc_id string, text string").withColumn("source", F.lit("a")).write.parquet(str(tmp_path / "in"))
+    size = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*") if not f.name.endswith(".crc"))
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(f"{shared_folder(spark)}/waypost-{spark.sparkContext.applicationId}".removeprefix("file://"))
+    Path(folders[-1]).mkdir(exist_ok=True)
+    peak, done = [], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            with contextlib.suppress(FileNotFoundError):  # files go while they are counted
+                peak.append(sum(map(size, folders)))
+
+    for _ in range(2):  # files of earlier tests
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before = sum(map(size, folders))
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = {x["doc_id"] for x in truncation.judged(spark.read.parquet(str(tmp_path / "in"))).filter("found = 'cut'").collect()}
+    finally:
+        done.set()
+        watcher.join()
+    assert len(found) == 900 and {x[0] for x in found} == {"c"}
+    assert max(peak) - before < 4 * size(tmp_path / "in"), ((max(peak) - before) / size(tmp_path / "in"))
+
+
+def test_the_filter_holds_every_entry(spark):
+    x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
+    held = truncation._filter(spark.createDataFrame([(int(v),) for v in x[:10_000]], "x bigint")).value
+    got = truncation._may_hold(held, x.view(np.uint64))
+    assert got[:10_000].all() and got[10_000:].mean() < 0.02
+
+
+def test_maps_of_shingles_never_overstate_what_is_missing():
+    r = random.Random(4)
+    for _ in range(300):
+        x = [r.choice("abcdef") * r.randint(1, 3) for _ in range(r.randint(8, 400))]
+        y = [r.choice("abcdef") * r.randint(1, 3) if r.random() < 0.1 else w for w in x]
+        cut = r.randint(5, len(y))
+        sets, maps = [], []
+        for words, n in ((x, len(x)), (y, cut)):
+            hashes = truncation._shingles(np.array([truncation.xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+            m, distinct = truncation._shingle_maps(hashes, [n - 4])
+            sets.append({tuple(words[i : i + 5]) for i in range(n - 4)})
+            maps.append([int(v) & (2**64 - 1) for v in m[0]])
+            assert distinct[0] == len(sets[-1])
+        for a, b in ((0, 1), (1, 0)):
+            assert sum((v & ~w).bit_count() for v, w in zip(maps[a], maps[b])) <= len(sets[a] - sets[b])
