@@ -28,3 +28,10 @@ def test_exactness_and_lines(spark):
     assert got == {1: (True, True), 2: (False, True), 3: (False, False)}
     df = spark.createDataFrame([("Oak", True, "K"), ("Elm", False, None)], "n string, f boolean, k string")
     assert [r["x"] for r in df.select(answers.chat_line(F.col("n"), F.col("f"), F.col("k")).alias("x")).collect()] == ["Oak — FOUND — K", "Elm — RESEARCH REQUIRED"]
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, TEXT)], "doc_id long, text string").write.parquet(path)
+    out = answers.reconciled_documents(spark.read.parquet(path), spark.createDataFrame(REFS, COLS), "file")
+    assert out.count() == 2 and not [f for f in out.inputFiles() if "/docs/" in f]

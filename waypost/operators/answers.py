@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waypost.functions import text as T
 from waypost.operators import blocks, match
+from waypost.session import staged
 
 
 def document_blocks(docs: DataFrame, kind: str = "text", text: str = "text") -> DataFrame:
@@ -32,7 +33,7 @@ def reconciled_documents(docs: DataFrame, refs: DataFrame, kind: str = "text", t
     """
     found = document_blocks(docs, kind, text).select("doc_id", "block_ord", T.normalize_block(F.col("block")).alias("p")).select("doc_id", "block_ord", "p.*")
     parts = found.withColumns({"of": F.col("doc_id"), "doc_id": F.concat_ws("#", F.col("doc_id").cast("string"), F.col("block_ord").cast("string"))})
-    each = match.by_name(parts)
+    each = staged(match.by_name(parts), "answers")  # read three times; the texts once
     out = match.reconciled(each, refs).select("doc_id", "status", "mr8_id", match.search_key(F.col("record"), F.col("status"), kind).alias("search_key"), "explanation")
     return each.select("doc_id", F.col("of"), "block_ord", "name_ord").join(out, "doc_id").drop("doc_id").withColumnRenamed("of", "doc_id")
 
